@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html_extract, media, packing, sharding, topk, url_filter
+from cairn.llm import bpe, html_extract, media, packing, sharding, topk, toxicity, url_filter
 from cairn.llm.common import spread, table
 
 #: Hosts whose pages make up the block list of the url filter query.
@@ -43,6 +43,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
@@ -56,7 +61,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_url_filter, op4_topk, op5_media, op6_bpe, op7_packing, op9_sharding, op10_html)
+    named = (op2_url_filter, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
     return {f.__name__: f for f in named}
 
 
