@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html_extract, media, packing, sharding, topk, toxicity, url_filter
+from cairn.llm import bpe, html_extract, media, ngram_join, packing, sharding, topk, toxicity, url_filter
 from cairn.llm.common import spread, table
 
 #: Hosts whose pages make up the block list of the url filter query.
@@ -24,6 +24,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.listed_urls(pages, LISTED_HOSTS)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -61,12 +65,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_url_filter, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
+    named = (op2_url_filter, op3_jaccard, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_FILTER_SQL, "op4_topk": TOPK_SQL}
+    return {"op2_url_filter": URL_FILTER_SQL, "op3_jaccard": JACCARD_SQL, "op4_topk": TOPK_SQL}
 
 
 URL_FILTER_SQL = r"""
@@ -97,3 +101,16 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transf
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+g AS (SELECT doc_id, unnest(g) AS h FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2
+"""
