@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html_extract, media, ngram_join, packing, sharding, topk, toxicity, url_filter
+from cairn.llm import bpe, html_extract, media, ngram_join, packing, pii, sharding, topk, toxicity, url_filter
 from cairn.llm.common import spread, table
 
 #: Hosts whose pages make up the block list of the url filter query.
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.find_pii(docs, redact=False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.listed_urls(pages, LISTED_HOSTS)).select("page_id", "host", "path", "rule", "verdict")
@@ -65,7 +70,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_url_filter, op3_jaccard, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
+    named = (op1_pii, op2_url_filter, op3_jaccard, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
     return {f.__name__: f for f in named}
 
 
