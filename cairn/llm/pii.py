@@ -3,7 +3,7 @@
 Patterns propose candidate spans. Labelers - the pattern's own check, a gazetteer, the
 words before the span, its edges and its shape - vote on each: personal data, not, or no
 opinion. Votes are counted over the whole corpus by pattern of votes; expectation-
-maximisation estimates from the counts how reliable each labeler is for each kind of span,
+maximisation estimates from the counts how reliable each labeler is for each family of spans,
 and so how likely each voted-on candidate is personal data. Those likelihoods train a
 logistic span classifier, which decides the candidates beyond the base kinds. Base spans
 (valid e-mail and IP addresses, card and phone numbers) are always kept.
@@ -26,6 +26,8 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("account", "handle", "national", "secret")
 KINDS = (*BASE, *EXTRA)
 _ORDER = {k: i for i, k in enumerate(KINDS)}
+#: Kinds whose labelers share their reliabilities, so that failed checks are weighed against passed ones.
+_FAMILY = [{"handle": 0, "account": 2, "national": 3}.get(k, i) for i, k in enumerate(KINDS)]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -148,10 +150,10 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if span.startswith(_KEY_STARTS) else -1
     before = text[max(0, start - CONTEXT_CHARS) : start]
     context = 0 if COUNTER_CUES.search(before) else 1 if CUES.search(before) else -1
-    edges = int(not ((start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())))
+    edges = 0 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else -1
     counts = Counter(span)
     entropy = -sum(c / len(span) * math.log2(c / len(span)) for c in counts.values())
-    shape = 0 if entropy < 1.5 else 1 if entropy >= 2.5 else -1
+    shape = 0 if entropy < 1.5 else 1 if entropy >= 3.6 else -1
     return check, gazetteer, context, edges, shape
 
 
@@ -166,9 +168,9 @@ def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def label_model(rows: list[tuple[int, tuple[int, ...], float]], rounds: int = 200) -> tuple[list[float], dict]:
-    """Expectation-maximisation over (kind, votes, count) rows: each row's probability of personal data, and what was learnt.
+    """Expectation-maximisation over (family, votes, count) rows: each row's probability of personal data, and what was learnt.
 
-    A labeler has, for each kind, a probability of each vote given either truth; votes are
+    A labeler has, for each family of kinds, a probability of each vote given either truth; votes are
     taken as independent given the truth. Starts from the share of votes for, so that the
     labels keep their sense; counts are smoothed by one vote that tells right from wrong 4 : 1.
     """
@@ -245,7 +247,7 @@ def train(df: DataFrame, text_col: str = "text") -> np.ndarray:
     rows = [(split(r["votes"]), split(r["features"]), float(r["n"])) for r in total]
     if not rows:
         return np.zeros(1 + sum(_WIDTHS))
-    likely, _ = label_model([(f[0], v, n) for v, f, n in rows])
+    likely, _ = label_model([(_FAMILY[f[0]], v, n) for v, f, n in rows])
     return span_classifier([(f, p, n) for (_, f, n), p in zip(rows, likely, strict=True)])
 
 
