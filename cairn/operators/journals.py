@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.ordered import floored_depth, previous, with_range
+from cairn.plans.ordered import floored_depth, previous, running
 
 BEGIN, END, COMMIT, ABORT = "BeginCheckpoint", "EndCheckpoint", "Commit", "Abort"
 MARKERS = (BEGIN, END, COMMIT, ABORT)
@@ -83,9 +83,4 @@ def invalid_begins(journal: DataFrame) -> DataFrame:
 
 def renumbered(journal: DataFrame) -> DataFrame:
     """Journal rows with `position` from 0 in sequence order, dense even if sequences aren't."""
-    from cairn.plans.ordered import running
-
     return running(journal, ["seq"], F.lit(1), name="position")
-
-
-__all__ = ["analyze", "checksum", "incomplete", "invalid_begins", "last_marker", "renumbered", "replay", "replayed_state", "verify", "with_checksum", "with_range"]

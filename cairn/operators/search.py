@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
@@ -42,8 +42,6 @@ def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     runs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([\s\p{Punct}]+|[^\s\p{Punct}]+)"), F.lit(1))
     sized = docs.select(F.col(id_col), F.posexplode(runs).alias("_run", "_text"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(id_col).orderBy("_run")
     placed = sized.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     words = placed.where(~F.col("_text").rlike(r"^[\s\p{Punct}]")).withColumn("term", T.fold(F.col("_text"))).where(T.kept(F.col("term")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths as P
@@ -60,8 +60,6 @@ def directory_rollup(entries: DataFrame) -> DataFrame:
 
 def preorder(entries: DataFrame) -> DataFrame:
     """Nodes in depth-first order, children by name: (position, path). A range sort; ranks come from per-range counts."""
-    from pyspark.sql import Window
-
     listed = nodes(entries).withColumn("key", F.array_join(P.components("path"), "\u0001"))
     listed = listed.withColumn("top", F.coalesce(F.try_element_at(P.components("path"), F.lit(1)), F.lit("")))
     sizes = listed.groupBy("top").agg(F.count("*").alias("n"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import codecs, paths, text
 from cairn.operators import chunks, journals, metadata, metrics, search, snapshots, tree
 from cairn.plans import catalog_sql
 from cairn.plans.ordered import running
-from cairn.session import ship
+from cairn.session import shared_folder, ship
 from cairn.sources import tables as T
 from cairn.sources.tables import load
 
@@ -443,13 +443,9 @@ def journal_verify(spark, sf):
 @query
 def stream_replay(spark, sf):
     """The journal replayed by a stream, each user's events a log of its own."""
-    import tempfile
-
     from cairn.streaming import replay
 
-    from pyspark.sql import Window
-
-    source = tempfile.mkdtemp(prefix="cairn-stream-") if not (root := spark.conf.get("spark.checkpoint.dir", None)) else f"{root}/cairn/stream-{id(spark)}-{__import__('uuid').uuid4().hex}"
+    source = shared_folder(spark, "stream")
     j = T.journal(spark, sf).withColumn("log", F.col("entry_id") % 50)
     j.withColumn("seq", (F.row_number().over(Window.partitionBy("log").orderBy("seq")) - 1).cast("long")).select("log", "seq", "type", "entry_id").repartition(4).write.mode("overwrite").parquet(f"{source}/in")
     stream = replay.replayed(spark.readStream.schema("log long, seq long, type string, entry_id long").parquet(f"{source}/in"))

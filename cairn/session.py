@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own_folder: str | None = None
 
 
 def session(app: str = "cairn", **settings: str) -> SparkSession:
@@ -33,3 +35,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(f"{folder}/cairn_code.zip")
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder that driver and executors share.
+
+    It lies in `spark.checkpoint.dir`. Where that setting is missing (tests, one
+    machine) a temporary folder is made once for the process and removed at its end.
+    """
+    global _own_folder
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if _own_folder is None:
+            _own_folder = tempfile.mkdtemp(prefix="cairn-")
+            atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+        root = f"file://{_own_folder}"
+    return f"{root.rstrip('/')}/cairn/{label}-{uuid.uuid4().hex}"
