@@ -61,3 +61,22 @@ def test_source_and_sink(spark, tmp_path):
     assert [r.error for r in back if not r.intact] == ["shorter than a header"]
     listed = A.read_archives(spark, f"file://{tmp_path}/out/part*", content=False)
     assert listed.where("content is null and intact is null").count() == 4
+
+
+def test_command_line(spark, tmp_path, capfd):
+    from cairn.__main__ import main
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("hello")
+    (tmp_path / "in" / "sub" / "b.txt").write_text("world")
+    archive, out = str(tmp_path / "arc"), tmp_path / "out"
+    assert main(["create", "-a", archive, str(tmp_path / "in")]) == 0
+    for command in ("list", "inspect", "verify"):
+        assert main([command, "-a", archive]) == 0
+    assert main(["extract", "-a", archive, "-o", str(out)]) == 0
+    assert (out / str(tmp_path / "in" / "sub" / "b.txt").lstrip("/")).read_text() == "world"
+    file = next((tmp_path / "arc").glob("part*"))
+    raw = bytearray(file.read_bytes())
+    raw[165] ^= 255
+    file.write_bytes(bytes(raw))
+    assert main(["verify", "-a", archive]) == 1
