@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.session import shared_folder as scratch
 from cairn.session import ship
 
-_own_scratch: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; only Spark's readers touch the path."""
@@ -20,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share.
-
-    It lies in `spark.checkpoint.dir`. Where that setting is missing (tests, one
-    machine) a temporary folder is made once, recorded in the session and removed
-    when the process ends.
-    """
-    global _own_scratch
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if _own_scratch is None:
-            _own_scratch = tempfile.mkdtemp(prefix="cairn-")
-            atexit.register(shutil.rmtree, _own_scratch, ignore_errors=True)
-        root = f"file://{_own_scratch}"
-    return f"{root.rstrip('/')}/cairn/{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, label)
@@ -51,3 +33,29 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Make a worker's function give freed memory back to the system when its task ends.
+
+    Workers live on from task to task, and beside the executor's heap there is little room for what
+    allocators would keep.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairn.llm.common import tidy
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript iframe template textarea title xmp noembed noframes".split())
@@ -259,4 +261,4 @@ def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [extract(x.as_py()) for x in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*others, "text", "n_chars"])
 
-    return df.select(*others, html_col).mapInArrow(run, f"{fields}text string, n_chars long")
+    return df.select(*others, html_col).mapInArrow(tidy(run), f"{fields}text string, n_chars long")

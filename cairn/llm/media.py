@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import scratch, stored
+from cairn.llm.common import scratch, stored, tidy
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -127,7 +127,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_b
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [id_col, "n_bytes", "digest", "shard", "offset", "length", "media_sha256"])
         close()
 
-    return stored(df.select(id_col, text_col).mapInArrow(run, schema), "media-index")
+    return stored(df.select(id_col, text_col).mapInArrow(tidy(run), schema), "media-index")
 
 
 class _Shards:
@@ -171,7 +171,7 @@ def _map_members(index: DataFrame, added: str, make) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, types[k]) for c, k in zip(cols, kinds, strict=True))], [*part.schema.names, *names])
 
-    return index.mapInArrow(run, f"{fields}, {added}")
+    return index.mapInArrow(tidy(run), f"{fields}, {added}")
 
 
 def with_headers(index: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairn.llm.bpe import SPLIT, byte_alphabet
+from cairn.llm.common import tidy
 
 Piece = tuple  # (doc, start, ids as little-endian uint32 bytes, doc_tokens)
 
@@ -197,4 +198,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, i
         if rows:
             yield flush()
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(run), schema)

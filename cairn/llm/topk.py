@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.common import tidy
+
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 128
 _PACKED = "block int, dim int, ids binary, values binary"
@@ -150,7 +152,7 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([own.tobytes()], pa.binary()), "values": pa.array([values.tobytes()], pa.binary())})
 
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return placed.repartition(blocks, "block").mapInArrow(run, _PACKED)
+    return placed.repartition(blocks, "block").mapInArrow(tidy(run), _PACKED)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -185,6 +187,6 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
                 if best:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*best, strict=True)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
