@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stored
+from cairn.llm.common import stored, tidy
 from cairn.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -36,7 +36,7 @@ HOT_COUNT = 32
 #: Very frequent shingles that are told apart (the most frequent ones; 4 MB broadcast).
 HOT_SHINGLES = 500_000
 #: Rows of one block of a very frequent column.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 #: Ids that may be broadcast to pick out texts (16 MB); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -125,18 +125,21 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     seen.add(sig[-1])
                     held.append(s)
                     size += len(s)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield frequent()
                     size = 0
                     seen.clear()
             yield _batch(["id", "n", "sig"], [batch.column(0), n, sig], [pa.int64(), pa.int64(), pa.binary()])
         yield frequent()
 
-    return docs.mapInArrow(run, "id long, n long, sig binary")
+    return docs.mapInArrow(tidy(run), "id long, n long, sig binary")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(h, id, n, smaller, weight): the columns kept of each row; weight is null but for hot columns, where it says how hot the row is."""
+    """(h, id, n, smaller, weight, first): the columns kept of each row, and the first of them.
+
+    Weight is null but for hot columns, where it says how hot the row is.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +160,19 @@ def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     is_hot = np.concatenate([p[4] for p in parts])
                     smaller = np.concatenate([np.arange(k) < p[3] for k, p in zip(lengths, parts, strict=True)])
                     weight = np.repeat([int(p[4].sum()) * 1_000_000 // k for k, p in zip(lengths, parts, strict=True)], lengths).astype(np.int32)
-                    yield _batch(["h", "id", "n", "smaller", "weight"], [h, np.repeat(np.array([p[1] for p in parts], np.int64), lengths), np.repeat(np.array([p[2] for p in parts], np.int32), lengths), smaller, pa.array(weight, mask=~is_hot)], [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()])
+                    of = lambda values, kind: np.repeat(np.array(values, kind), lengths)  # noqa: B023, E731
+                    first = np.repeat(np.array([p[0][0] for p in parts], _U).view(np.int64), lengths)
+                    yield _batch(["h", "id", "n", "smaller", "weight", "first"], [h, of([p[1] for p in parts], np.int64), of([p[2] for p in parts], np.int32), smaller, pa.array(weight, mask=~is_hot), first], [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64()])
                     parts, size = [], 0
 
-    return docs.mapInArrow(run, "h long, id long, n int, smaller boolean, weight int")
+    return docs.mapInArrow(tidy(run), "h long, id long, n int, smaller boolean, weight int, first long")
 
 
 def _column_products(postings: DataFrame) -> DataFrame:
     """Pairs (h null, a smaller than b by size, then id) that meet in an ordinary column and pass the size bound.
 
-    Postings of very frequent columns pass through, as (h, id, n, smaller, weight), dealt out by salted keys.
+    Rows that have the same first column give their pair there and in no other column. Postings of
+    very frequent columns pass through, as (h, id, n, smaller, weight), dealt out by salted keys.
     """
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
     names = ["h", "a", "b", "smaller", "weight"]
@@ -188,18 +194,19 @@ def _column_products(postings: DataFrame) -> DataFrame:
             return
         h, i, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in range(3))
         smaller = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in got])
+        first = np.concatenate([b.column(5).to_numpy() for b in got])
         del got
         order = np.lexsort((i, n, h))
-        h, i, n, smaller = h[order], i[order], n[order].astype(np.int64), smaller[order]
+        h, i, n, smaller, first = h[order], i[order], n[order].astype(np.int64), smaller[order], first[order]
         end = np.searchsorted(h, h, side="right")
         live = np.flatnonzero(smaller & (end - np.arange(len(h)) > 1))
         out_a, out_b, size, step = [], [], 0, 1
         while len(live):  # the step-th partner of every row that still has one
             live = live[100 * n[live] >= 75 * n[live + step]]
-            a, b = i[live], i[live + step]
-            out_a.append(a[a != b])
-            out_b.append(b[a != b])
-            size += len(a)
+            here = live[(i[live] != i[live + step]) & ((first[live] != first[live + step]) | (first[live] == h[live]))]
+            out_a.append(i[here])
+            out_b.append(i[here + step])
+            size += len(here)
             if size > 1_000_000:
                 yield pairs_of(out_a, out_b)
                 out_a, out_b, size = [], [], 0
@@ -209,7 +216,7 @@ def _column_products(postings: DataFrame) -> DataFrame:
             yield pairs_of(out_a, out_b)
 
     salt = F.when(F.col("weight").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(256)))
-    return postings.withColumn("salt", salt).repartition("h", "salt").select("h", "id", "n", "smaller", "weight").mapInArrow(run, "h long, a long, b long, smaller boolean, weight int")
+    return postings.withColumn("salt", salt).repartition("h", "salt").select("h", "id", "n", "smaller", "weight", "first").mapInArrow(tidy(run), "h long, a long, b long, smaller boolean, weight int")
 
 
 def _block_products(rows: DataFrame) -> DataFrame:
@@ -236,7 +243,7 @@ def _block_products(rows: DataFrame) -> DataFrame:
                 cell.append(row)
         yield from _cell(at, cell)
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(tidy(run), "a long, b long")
 
 
 def _cell(key: tuple | None, rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +294,7 @@ def _rows_of(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 yield _batch(["id", "n", "sketch", "whole"], [part.column(0), [len(s) for s in sets], [sketch(s) for s in sets], [s.tobytes() for s in sets]], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
-    return docs.mapInArrow(run, "id long, n long, sketch binary, whole binary")
+    return docs.mapInArrow(tidy(run), "id long, n long, sketch binary, whole binary")
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
@@ -306,7 +313,7 @@ def _filtered(pairs: DataFrame, test) -> DataFrame:
             keep = pa.array([test(*(v.as_py() for v in row)) for row in zip(*cols, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def _are_linked(a: bytes, n: int, b: bytes, m: int) -> bool:
