@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import tidy
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("account", "handle", "national", "secret")
 KINDS = (*BASE, *EXTRA)
@@ -49,7 +51,7 @@ CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39",
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "2", "6")
 #: Words that speak for, and against, personal data when they stand shortly before a span.
 CUES = re.compile(r"(?i)\b(?:e-?mail|mail|contact|phone|tel|mobile|cell|fax|call|card|visa|mastercard|iban|account|konto|compte|cuenta|ssn|passport|ip|host|server|password|passwd|pwd|secret|token|key|login|telefon|téléphone|teléfono|correo|courriel)\b")
-COUNTER_CUES = re.compile(r"(?i)\b(?:version|release|isbn|issn|doi|page|section|chapter|figure|order|invoice|serial|lot|build|commit|checksum|example)\b")
+COUNTER_CUES = re.compile(r"(?i)\b(?:version|release|isbn|issn|doi|page|section|chapter|figure|order|invoice|serial|lot|build|commit|checksum)\b")
 CONTEXT_CHARS = 40
 
 
@@ -170,8 +172,8 @@ def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
 def label_model(rows: list[tuple[int, tuple[int, ...], float]], rounds: int = 200) -> tuple[list[float], dict]:
     """Expectation-maximisation over (family, votes, count) rows: each row's probability of personal data, and what was learnt.
 
-    A labeler has, for each family of kinds, a probability of each vote given either truth; votes are
-    taken as independent given the truth. Starts from the share of votes for, so that the
+    A labeler has, for each family of kinds, a probability of either vote given either truth; votes are
+    taken as independent given the truth, and having no opinion says nothing. Starts from the share of votes for, so that the
     labels keep their sense; counts are smoothed by one vote that tells right from wrong 4 : 1.
     """
     post = [(sum(v == 1 for v in votes) + 0.5) / (sum(v >= 0 for v in votes) + 1) for _, votes, _ in rows]
@@ -179,17 +181,19 @@ def label_model(rows: list[tuple[int, tuple[int, ...], float]], rounds: int = 20
     for _ in range(rounds):
         learnt = {}
         for (kind, votes, count), p in zip(rows, post, strict=True):
-            prior, table = learnt.setdefault(kind, ([1.0, 1.0], [[[0.5, 0.8, 0.2], [0.5, 0.2, 0.8]] for _ in votes]))
+            prior, table = learnt.setdefault(kind, ([1.0, 1.0], [[[0.8, 0.2], [0.2, 0.8]] for _ in votes]))
             for truth, share in ((0, 1 - p), (1, p)):
                 prior[truth] += share * count
                 for j, v in enumerate(votes):
-                    table[j][truth][v + 1] += share * count
+                    if v >= 0:
+                        table[j][truth][v] += share * count
         change = 0.0
         for i, (kind, votes, _) in enumerate(rows):
             prior, table = learnt[kind]
             odds = math.log(prior[1] / prior[0])
             for j, v in enumerate(votes):
-                odds += math.log(table[j][1][v + 1] / sum(table[j][1])) - math.log(table[j][0][v + 1] / sum(table[j][0]))
+                if v >= 0:
+                    odds += math.log(table[j][1][v] / sum(table[j][1])) - math.log(table[j][0][v] / sum(table[j][0]))
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             change, post[i] = max(change, abs(p - post[i])), p
         if change < 1e-6:
@@ -242,7 +246,7 @@ def train(df: DataFrame, text_col: str = "text") -> np.ndarray:
             join = lambda v: ",".join(map(str, v))
             yield pa.RecordBatch.from_arrays([pa.array([join(v) for v, _ in counts]), pa.array([join(f) for _, f in counts]), pa.array(list(counts.values()), pa.int64())], ["votes", "features", "n"])
 
-    total = df.select(text_col).mapInArrow(run, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n")).orderBy("votes", "features").collect()
+    total = df.select(text_col).mapInArrow(tidy(run), "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n")).orderBy("votes", "features").collect()
     split = lambda s: tuple(map(int, s.split(",")))
     rows = [(split(r["votes"]), split(r["features"]), float(r["n"])) for r in total]
     if not rows:
@@ -312,4 +316,4 @@ def find_pii(df: DataFrame, text_col: str = "text", threshold: float = 0.5, reda
             cols = list(zip(*rows, strict=True)) or [[]] * len(added)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], [*kept, *added])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(tidy(run), schema)
