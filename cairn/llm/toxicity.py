@@ -7,7 +7,7 @@ ordinary one as many bytes of ordinary words. A text is read in windows of one w
 words in several); a window's signal is the length it compresses to with the ordinary
 dictionary less the length with the toxic one. How often each length difference occurs is
 turned into a probability by likelihood ratios and a logistic model, both fitted to
-training texts that the dictionaries have not seen.
+measurements with dictionaries that have not seen the measured text.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import give_back, tidy
+
 #: Labelled rows that training may take to the driver: a bounded sample, chosen by hash.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 THRESHOLD = 0.7
 PROSE_BYTES = 100_000
 WORD_BYTES = 64_000
@@ -52,7 +54,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 class Windows(dict):
     """Word -> what its windows add to the counts of length differences; bounded."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, most: int = 400_000) -> None:
+    def __init__(self, toxic: bytes, ordinary: bytes, most: int = 200_000) -> None:
         super().__init__()
         self.toxic, self.ordinary, self.most = _compressor(toxic), _compressor(ordinary), most
 
@@ -125,35 +127,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Fit a model to labelled texts (1 is toxic). One part of them makes the dictionaries, the other calibrates.
-
-    Rows are put in an order that depends on the texts only, so equal input gives an equal model.
-    Without rows of both labels every text gets the share of label 1 as its score.
-    """
-    rows = sorted(zip(texts, labels, strict=True), key=lambda r: hashlib.md5((r[0] or "").encode("utf-8", "surrogatepass")).digest())
-    half = max(1, int(len(rows) * 0.55))
-    first, second = rows[:half], rows[half:] or rows
-    toxic, ordinary = telling_words([t for t, _ in first], [y for _, y in first])
+def dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of labelled texts."""
+    toxic, ordinary = telling_words(texts, labels)
     rng = random.Random(7)
-    clean = [t for t, y in first if not y and t]
+    clean = [t for t, y in zip(texts, labels, strict=True) if not y and t]
     rng.shuffle(clean)
     prose = b""
     for t in clean:
         if len(prose) >= PROSE_BYTES:
             break
         prose += t[:600].lower().encode("utf-8", "surrogatepass") + b"\n"
+    rng.shuffle(ordinary)
     tail_of = lambda ws, size: (" " + " ".join(ws) + " ").encode("utf-8", "surrogatepass")[-size:]
     telling = tail_of(toxic, WORD_BYTES)
-    rng.shuffle(ordinary)
-    plain = tail_of(ordinary, max(8, len(telling)))
-    windows = Windows(prose + telling + LEAD, prose + plain + LEAD)
-    counts = np.array([windows.counts(t) for t, _ in second], float).reshape(-1, 2 * REACH + 1)
-    y = np.array([v for _, v in second], float)
+    return prose + telling + LEAD, prose + tail_of(ordinary, max(8, len(telling))) + LEAD
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
+    """Fit a model to labelled texts (1 is toxic).
+
+    Each half of the rows is measured with dictionaries of the other half, and these
+    measurements calibrate the ratios and the logistic model; the model keeps the first half's
+    dictionaries, which are of the size that was calibrated. Rows are put in an order that depends on the texts only, so equal input gives an
+    equal model. Without rows of both labels every text gets the share of label 1 as its score.
+    """
+    rows = sorted(zip(texts, labels, strict=True), key=lambda r: hashlib.md5((r[0] or "").encode("utf-8", "surrogatepass")).digest())
+    halves = [rows[0::2], rows[1::2]]
+    split = lambda part: ([t for t, _ in part], [v for _, v in part])
+    made = [dictionaries(*split(part)) for part in halves]
+    measured = []
+    for part, own in zip(halves, reversed(made), strict=True):
+        windows = Windows(*own)
+        measured += [windows.counts(t) for t, _ in part]
+        windows.clear()
+    counts = np.array(measured, float).reshape(-1, 2 * REACH + 1)
+    y = np.array([v for part in halves for _, v in part], float)
     seen = [counts[y == v].sum(0) + 0.5 for v in (0, 1)]
     ratios = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     x = _features(counts, ratios)
-    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    mean, spread = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     x = np.column_stack([np.ones(len(x)), np.clip((x - mean) / spread, -8, 8)])
     w = np.zeros(x.shape[1])
     ridge = np.r_[1e-6, np.full(len(w) - 1, 1.0)]
@@ -167,7 +180,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     else:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         w[0] = np.log(share / (1 - share))
-    return Model(prose + telling + LEAD, prose + plain + LEAD, ratios, mean, spread, w)
+    return Model(*made[0], ratios, mean, spread, w)
 
 
 def held_out(id_col: str) -> Column:
@@ -201,6 +214,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     spark = df.sparkSession
     model = train(*training_rows(df, labels, id_col, text_col, label_col, sample_rows))
+    give_back()
     raw = pickle.dumps(model)
     mark = hashlib.sha256(raw).hexdigest()
     sent = spark.sparkContext.broadcast(raw)
@@ -218,5 +232,5 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             counts = np.array([windows.counts(t.as_py()) for t in batch.column(at)], float).reshape(-1, 2 * REACH + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.scores(counts), pa.float64())], [*kept, "score"])
 
-    out = df.select(*kept).mapInArrow(run, f"{fields}score double")
+    out = df.select(*kept).mapInArrow(tidy(run), f"{fields}score double")
     return out.select(*kept, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
