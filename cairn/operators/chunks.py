@@ -17,9 +17,14 @@ WINDOW = 48
 def fixed_chunks(entries: DataFrame, size: int) -> DataFrame:
     """(entry_id, ordinal, chunk_offset, chunk_size, sha256): a cut every `size` bytes, the tail kept, nothing for empty content."""
     cut = entries.select("entry_id", F.col("content").cast("binary").alias("c")).where(F.octet_length("c") > 0)
-    rows = cut.select("entry_id", "c", F.posexplode(F.sequence(F.lit(0), F.octet_length("c") - 1, F.lit(size))).alias("ordinal", "chunk_offset"))
-    piece = F.substring(F.col("c"), F.col("chunk_offset") + 1, F.lit(size))
-    return rows.select("entry_id", "ordinal", F.col("chunk_offset").cast("long").alias("chunk_offset"), F.octet_length(piece).cast("long").alias("chunk_size"), F.sha2(piece, 256).alias("sha256"))
+
+    def piece(offset: Column) -> Column:
+        part = F.substring(F.col("c"), offset + 1, F.lit(size))
+        return F.struct(offset.cast("long").alias("chunk_offset"), F.octet_length(part).cast("long").alias("chunk_size"), F.sha2(part, 256).alias("sha256"))
+
+    # digests are made within the row, so that exploding copies them and not the content
+    made = F.transform(F.sequence(F.lit(0), F.octet_length("c") - 1, F.lit(size)), piece)
+    return cut.select("entry_id", F.posexplode(made).alias("ordinal", "p")).select("entry_id", "ordinal", "p.*")
 
 
 def hash_table(seed: int = 1) -> np.ndarray:
