@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from cairn.llm.common import tidy
 
 _SHIFT = 20
+_SHORT = (3, 2, 1)
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts in which `re` and `regex` agree about letters, digits and white space.
@@ -68,6 +69,11 @@ class MergeAutomaton:
     def __post_init__(self) -> None:
         self.ids = {b: t for t, b in enumerate(self.labels) if b and self.time[t] > -2}
         self.longest = max(map(len, self.ids), default=1)
+        ends: dict[bytes, set[int]] = {}
+        for b in self.ids:
+            if len(b) > 3:
+                ends.setdefault(b[-4:], set()).add(len(b))
+        self._ends = {b: (*sorted(n, reverse=True), 3, 2, 1) for b, n in ends.items()}
         self._last: dict[bytes, int] = {}
         self._arcs: dict[int, bool] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
@@ -133,21 +139,34 @@ class MergeAutomaton:
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path of a word. Time grows in proportion to its length."""
+        """The one path of a word. Time grows in proportion to its length.
+
+        What ends at a byte is looked for among the lengths that tokens with the same last four
+        bytes have, then among the short ones.
+        """
         if len(word) > 64:
             return self._encode_long(word)
-        last, ids, n = self._last, self.ids, len(word)
+        last, ids, arcs, ends, n = self._last, self.ids, self._arcs, self._ends, len(word)
         if len(last) > 500_000:
             last.clear()
-        for i in range(1, n + 1):
-            prefix = word[:i]
-            if prefix in last:
-                continue
-            for j in range(max(0, i - self.longest), i):
+        known = n
+        while known and word[:known] not in last:
+            known -= 1
+        for i in range(known + 1, n + 1):
+            for length in ends.get(word[i - 4 : i], _SHORT) if i > 3 else _SHORT:
+                j = i - length
+                if j < 0:
+                    continue
                 t = ids.get(word[j:i])
-                if t is not None and (not j or self.arc(last[word[:j]], t)):
-                    last[prefix] = t
-                    break
+                if t is None:
+                    continue
+                if j:
+                    x = last[word[:j]]
+                    ok = arcs.get(x << _SHIFT | t)
+                    if not (self.arc(x, t) if ok is None else ok):
+                        continue
+                last[word[:i]] = t
+                break
             else:
                 raise ValueError("a byte has no token")
         out = []
@@ -161,8 +180,9 @@ class MergeAutomaton:
         n, ids = len(word), self.ids
         last = [-1] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(word[j:i])
+            for length in self._ends.get(word[i - 4 : i], _SHORT) if i > 3 else _SHORT:
+                j = i - length
+                t = ids.get(word[j:i]) if j >= 0 else None
                 if t is not None and (not j or self.arc(last[j], t)):
                     last[i] = t
                     break
@@ -198,17 +218,23 @@ class MergeAutomaton:
 
 
 class WordTable(dict):
-    """Word (or special id) -> value made from its ids; bounded, filled on demand."""
+    """Word (or special id) -> value made from its ids; filled on demand.
+
+    Bounded: when it is full its words become the older generation, from which those still in use come back.
+    """
 
     def __init__(self, automaton: MergeAutomaton, make, most: int = 400_000) -> None:
         super().__init__()
-        self.automaton, self.make, self.most = automaton, make, most
+        self.automaton, self.make, self.most, self.older = automaton, make, most, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = [word] if isinstance(word, int) else self.automaton.encode(word.encode("utf-8", "surrogatepass"))
-        value = self[word] = self.make(ids)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make([word] if isinstance(word, int) else self.automaton.encode(word.encode("utf-8", "surrogatepass")))
+        self[word] = value
         return value
 
     def of(self, text: str) -> list:
