@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import codecs, paths, text
 from cairn.operators import chunks, journals, metadata, metrics, search, snapshots, tree
 from cairn.plans import catalog_sql
+from cairn.plans.inputs import spread
 from cairn.plans.ordered import running
 from cairn.session import shared_folder, ship
 from cairn.sources import tables as T
@@ -28,7 +29,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", "text")
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(T.document_entries(spark, sf).select("entry_id", "content"))
 
 
 # search
@@ -242,7 +247,7 @@ def register_chunks(spark, sf):
 @query
 def cdc_chunks(spark, sf):
     """Content-defined chunks add up to their entry and keep to their size limits."""
-    c = chunks.content_chunks(T.document_entries(spark, sf), 64, 1024, 256)
+    c = chunks.content_chunks(_contents(spark, sf), 64, 1024, 256)
     w = c.groupBy("entry_id").agg(F.sum("chunk_size").alias("bytes"), F.count("*").alias("n"), F.min("chunk_offset").alias("first"), F.max("chunk_size").alias("most"), (F.max("ordinal") + 1).cast("long").alias("m"))
     return w.select("entry_id", "bytes", (F.col("first") == 0).alias("starts"), (F.col("most") <= 1024).alias("bounded"), (F.col("m") == F.col("n")).alias("dense"))
 
@@ -250,7 +255,7 @@ def cdc_chunks(spark, sf):
 @query
 def cdc_dedup(spark, sf):
     """Every duplicate document adds logical but no stored bytes."""
-    return chunks.dedup_summary(chunks.content_chunks(T.document_entries(spark, sf), 64, 1024, 256))
+    return chunks.dedup_summary(chunks.content_chunks(_contents(spark, sf), 64, 1024, 256))
 
 
 @query
@@ -284,17 +289,17 @@ def hex_digests(spark, sf):
 
 @query
 def byte_entropy(spark, sf):
-    return metrics.entropy(T.document_entries(spark, sf))
+    return metrics.entropy(_contents(spark, sf))
 
 
 @query
 def entropy_classes(spark, sf):
-    return metrics.entropy(T.document_entries(spark, sf)).groupBy("class").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+    return metrics.entropy(_contents(spark, sf)).groupBy("class").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
 
 
 @query
 def entropy_bar(spark, sf):
-    e = metrics.entropy(T.document_entries(spark, sf))
+    e = metrics.entropy(_contents(spark, sf))
     return metrics.entropy_bar(running(e, ["entry_id"], F.lit(1), name="ordinal"), "ordinal", 40)
 
 
@@ -325,7 +330,7 @@ def storage_summary(spark, sf):
 def inspect_archive(spark, sf):
     """Each entry's offset, size, entropy and class."""
     e = metrics.layout(T.document_entries(spark, sf))
-    return e.select("entry_id", "path", "offset").join(metrics.entropy(T.document_entries(spark, sf)), "entry_id")
+    return e.select("entry_id", "path", "offset").join(metrics.entropy(_contents(spark, sf)), "entry_id")
 
 
 @query
