@@ -9,9 +9,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.plans.inputs import spread
 from cairn.session import shared_folder as scratch
 from cairn.session import ship
 
+__all__ = ["give_back", "scratch", "spread", "stored", "table", "tidy"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; only Spark's readers touch the path."""
@@ -26,15 +29,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that has fewer partitions than the cluster has cores.
-
-    Inputs of many files or row groups are left alone, so at scale this never shuffles.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def give_back() -> None:
     """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
