@@ -320,6 +320,84 @@ def _are_linked(a: bytes, n: int, b: bytes, m: int) -> bool:
     return linked(len(np.intersect1d(np.frombuffer(a, _U), np.frombuffer(b, _U), assume_unique=True)), n, m)
 
 
+def _block_links(rows: DataFrame) -> DataFrame:
+    """(id, links): how many documents of its component, other than equal ones, each row links with.
+
+    `rows`: (id, whole, component, weight), where weight is the number of documents with this text. A
+    component's rows are dealt out to blocks; for each pair of its blocks the overlaps of all pairs of rows are
+    accumulated over blocks of columns. Linked rows are always in one component, so no link is missed.
+    """
+    sized = rows.join(rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "component")
+    own = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "whole")
+    cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell, done = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    done.append(_cell_links(at, cell))
+                    at, cell = row[:3], []
+                cell.append(row[3:])
+            yield _batch(["id", "links"], [np.concatenate(x) for x in zip(*done, (np.zeros(0, np.int64),) * 2, strict=True)], [pa.int64(), pa.int64()])
+            done = []
+        ids, links = _cell_links(at, cell)
+        yield _batch(["id", "links"], [ids, links], [pa.int64(), pa.int64()])
+
+    return cells.mapInArrow(tidy(run), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _cell_links(key: tuple | None, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and links of the (block, id, weight, whole) rows of a pair of blocks, counted across the two if they differ."""
+    rows.sort(key=lambda r: r[1])
+    block, ids, weight = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+    if len(rows) < 2:
+        return ids[:0], ids[:0]
+    sets = [np.frombuffer(r[3], _U) for r in rows]
+    n = np.array([len(s) for s in sets])
+    near = linked(overlaps(sets), n[:, None], n[None, :])
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # rows that repeat an id are one document
+    near = np.logical_or.reduceat(np.logical_or.reduceat(near, first, axis=0), first, axis=1)
+    block, ids, weight = block[first], ids[first], weight[first]
+    np.fill_diagonal(near, False)
+    if key[1] != key[2]:
+        near &= block[:, None] != block[None, :]
+    return ids, near @ weight
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The overlaps of all pairs of sorted distinct arrays: the product of their incidence matrix with its transpose, summed over blocks of columns."""
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # other columns are in no overlap
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        low, high = np.searchsorted(column, [start, start + columns])
+        part = np.zeros((len(sets), min(columns, int(column[-1]) + 1 - start)), np.float32)  # sums of at most 4096 ones are exact
+        part[row[low:high], column[low:high] - start] = 1
+        total += (part @ part.T).astype(np.int64)
+    np.fill_diagonal(total, [len(s) for s in sets])
+    return total
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of jaccard_components with n_links: the number of other documents that a document links with.
+
+    Equal texts link, and every pair of a component is decided by its exact overlap. A row with a null id is
+    no document that others link with; its own n_links is that of its equals' links and all of them, or null
+    without equals that have an id. Documents without words link with none. Rows that repeat an id should repeat its text.
+    """
+    return _joined(df, id_col, text_col, True)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id_col, n_shingles and component_id.
 
@@ -333,6 +411,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one. Other columns are ignored. id_col must be an integer column. Intermediate tables go
     to the shared folder.
     """
+    return _joined(df, id_col, text_col, False)
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str, count_links: bool) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = stored(_signatures(docs), "ngram-signatures")
     own = found.where("sig is not null")
@@ -365,4 +447,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = links.unionByName(stored(_filtered(_beside(more, rows, "whole"), _are_linked), "ngram-links"))
     parts = components(links)
     named = members.join(parts.select(F.col("id").alias("first"), "component"), "first", "left")
-    return named.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first").cast(df.schema[id_col].dataType).alias("component_id"))
+    out = [F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first").cast(df.schema[id_col].dataType).alias("component_id")]
+    if not count_links:
+        return named.select(*out)
+    equals = stored(members.where("id <> first").groupBy("first").agg(F.countDistinct("id").alias("equals")), "ngram-equals")
+    weighted = rows.join(parts, "id").join(equals.withColumnRenamed("first", "id"), "id", "left").withColumn("weight", F.coalesce("equals", F.lit(0)) + 1)
+    counted = stored(_block_links(weighted.select("id", "whole", "component", "weight")), "ngram-link-counts")
+    named = named.join(equals, "first", "left").join(counted.withColumnRenamed("id", "first"), "first", "left")
+    n_links = F.coalesce("equals", F.lit(0)) + F.coalesce("links", F.lit(0)) + F.col("id").isNull().cast("long")
+    return named.select(*out, F.when(F.col("first").isNotNull(), n_links).alias("n_links"))

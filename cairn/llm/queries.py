@@ -33,6 +33,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -70,12 +74,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_pii, op2_url_filter, op3_jaccard, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
+    named = (op1_pii, op2_url_filter, op3_jaccard, op3_jaccard_links, op4_topk, op5_media, op6_bpe, op7_packing, op8_toxicity, op9_sharding, op10_html)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_FILTER_SQL, "op3_jaccard": JACCARD_SQL, "op4_topk": TOPK_SQL}
+    return {"op2_url_filter": URL_FILTER_SQL, "op3_jaccard": JACCARD_SQL, "op3_jaccard_links": JACCARD_LINKS_SQL, "op4_topk": TOPK_SQL}
 
 
 URL_FILTER_SQL = r"""
@@ -119,3 +123,8 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b)
 SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2
 """
+
+JACCARD_LINKS_SQL = JACCARD_SQL.replace(
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2",
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, (SELECT count(*) FROM e WHERE e.a = n.doc_id) AS n_links FROM n JOIN r USING (doc_id) GROUP BY 1, 2",
+)

@@ -117,3 +117,28 @@ def test_components_of_chains_stars_and_rings(spark):
                 todo += near[x]
     assert {tuple(r) for r in C.components(links).collect()} == set(want.items())
     assert C.components(links.where("false")).count() == 0
+
+
+def test_links_as_brute_force(spark, monkeypatch):
+    ship(spark)
+    for block, rows in ((512, corpus()), (16, corpus() + [(None, corpus()[20][1]), (None, "in no other row")])):
+        monkeypatch.setattr(J, "BLOCK_ROWS", block)
+        sets = {}
+        for i, x in rows:
+            if i is not None:
+                w = (x or "").encode().lower().split()
+                k = min(5, len(w))
+                sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+        want = {i: sum(j != i and bool(s & t) and 100 * len(s & t) >= 75 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+        got = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and max(want.values()) > 10
+        assert {(r.doc_id, r.n_links) for r in got if r.doc_id is not None} == set(want.items())
+        nulls = sorted((r.n_links for r in got if r.doc_id is None), key=str)
+        assert nulls == ([want[rows[20][0]] + 1, None] if block == 16 else [])
+
+
+def test_overlaps_over_blocks_of_columns():
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(90), rng.randrange(1, 60))), np.uint64) for _ in range(12)]
+    for columns in (7, 4096):
+        assert J.overlaps(sets, columns).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
