@@ -39,9 +39,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z.+])[0-9](?:[ -]?[0-9]){8,33}(?![0-9A-Za-z]|[ -][0-9])")
-_KEY = re.compile(r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,255}|sk-[0-9A-Za-z-]{20,255}|xox[abp]-[0-9A-Za-z-]{10,255})(?![0-9A-Za-z])")
+_KEY = re.compile(r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}+|sk-[0-9A-Za-z-]{20,}+|xox[abp]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z])")
 _KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"',;]{6,256})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"',;]{6,}+)")
 _ASSIGN_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key")
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
 

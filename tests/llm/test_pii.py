@@ -83,3 +83,17 @@ def test_secrets_are_learnt_and_decoys_are_not(spark):
 def test_redaction_merges_overlaps():
     assert pii.redacted("abcdef", [("ip", 1, 3), ("card", 2, 4)]) == "a<IP>ef"
     assert pii.redacted("", []) == ""
+
+
+def test_long_secrets_are_masked_whole(spark):
+    ship(spark)
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choices("ABCDEFGHIJabcdefghij0123456789", k=n))
+    for start in ("token=", "ghp_", "sk-", "xoxb-"):
+        value = token(1000)
+        span = ("secret", 4, 1004) if start == "token=" else ("secret", 0, len(start) + 1000)
+        text = start + value if start != "token=" else f"pwd={value}"
+        assert pii.extra_spans(text + " rest", []) == [span]
+    rows = [(i, f"some words, token={token(1000 if i % 2 else 40)} and more words") for i in range(40)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.redacted for r in got} == {"some words, token=<SECRET> and more words"}
