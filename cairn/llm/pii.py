@@ -43,6 +43,7 @@ _KEY = re.compile(r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A
 _KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"',;]{6,}+)")
 _ASSIGN_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key")
+_AT = re.compile(r"[(\[]at[)\]]", re.I)
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
 
 #: Common top-level domains, country calling codes and first digits of card numbers.
@@ -109,7 +110,7 @@ def extra_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         low = text.lower()
         if any(w in low for w in _ASSIGN_WORDS):
             found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
-    if "(at)" in text or "[at]" in text or "(AT)" in text:
+    if _AT.search(text):
         found += [("handle", *m.span()) for m in _HANDLE.finditer(text)]
     if _DIGIT.search(text):
         found += [("national", *m.span()) for m in _NATIONAL.finditer(text)]

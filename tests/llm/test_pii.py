@@ -97,3 +97,9 @@ def test_long_secrets_are_masked_whole(spark):
     rows = [(i, f"some words, token={token(1000 if i % 2 else 40)} and more words") for i in range(40)]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.redacted for r in got} == {"some words, token=<SECRET> and more words"}
+
+
+def test_handles_in_any_case():
+    for at in ("(at)", "[at]", "(AT)", "[AT]", "[At]", "(At)", "(aT)", "[at)"):
+        text = f"write to jane.doe {at} host [DOT] com soon"
+        assert pii.extra_spans(text, []) == [("handle", 9, text.index(" soon"))], at
