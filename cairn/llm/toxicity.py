@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained from labelled text, one from toxic and on
 ordinary documents. They share a stretch of ordinary prose; beyond it the toxic one
 holds the words by which toxic training texts differ from ordinary ones, and the
 ordinary one as many bytes of ordinary words. A text is read in windows of one word (long
-words in several); a window's signal is the length it compresses to with the ordinary
+words in several that overlap); a window's signal is the length it compresses to with the ordinary
 dictionary less the length with the toxic one. How often each length difference occurs is
 turned into a probability by likelihood ratios and a logistic model, both fitted to
 measurements with dictionaries that have not seen the measured text.
@@ -34,6 +34,9 @@ PROSE_BYTES = 100_000
 WORD_BYTES = 64_000
 REACH = 8  # length differences are limited to -8 .. 8
 WINDOW_CHARS = 32
+STEP_CHARS = 16  # windows of a long word overlap, so that no word's beginning is cut in each of them
+KEPT_CHARS = 256  # longer words are measured each time, so that the kept ones stay bounded
+BINS = 2 * REACH + 1
 #: Every window stands between these, so that a block is always worth compressing and its last bytes can be matched.
 LEAD = b"a lead that each window has, so that a block is always worth compressing; 0123456789 abcdefghijklmnopqrstuvwxyz"
 TAIL = bytes(range(1, 17))
@@ -52,33 +55,39 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 class Windows(dict):
-    """Word -> what its windows add to the counts of length differences; bounded."""
+    """Word -> the length differences of its windows, moved to 0 .. 2 * REACH; bounded."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, most: int = 200_000) -> None:
         super().__init__()
         self.toxic, self.ordinary, self.most = _compressor(toxic), _compressor(ordinary), most
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.difference(word)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        value = self.differences(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
-    def difference(self, word: str) -> int:
-        """Of a word's windows, the difference farthest from 0, moved to 0 .. 2 * REACH."""
+    def differences(self, word: str) -> tuple[int, ...]:
+        """The difference of each of a word's windows; the last window ends with the word."""
         word = word.strip(_EDGES)
-        best = 0
-        for at in range(0, max(1, len(word)), WINDOW_CHARS):
+        last = max(0, len(word) - WINDOW_CHARS)
+        out = []
+        for at in [*range(0, last, STEP_CHARS), last]:
             window = LEAD + f" {word[at : at + WINDOW_CHARS]} ".encode("utf-8", "surrogatepass") + TAIL
             d = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-            best = d if abs(d) > abs(best) else best
-        return max(-REACH, min(REACH, best)) + REACH
+            out.append(max(-REACH, min(REACH, d)) + REACH)
+        return tuple(out)
 
     def counts(self, text: str | None) -> np.ndarray:
-        """Windows by length difference; of a difference, at most twice as many as there are distinct words with it."""
-        ws = words(text)
-        every, distinct = (np.bincount(list(map(self.__getitem__, w)), minlength=2 * REACH + 1) for w in (ws, set(ws)))
-        return np.minimum(every, 2 * distinct)
+        """Windows by length difference: all of them, then those of distinct words."""
+        every, distinct = [0] * BINS, [0] * BINS
+        for word, times in Counter(words(text)).items():
+            for d in self[word]:
+                every[d] += times
+                distinct[d] += 1
+        return np.array([*every, *distinct])
 
 
 def telling_words(texts: list[str], labels: list[int], least: float = 20.0) -> tuple[list[str], list[str]]:
@@ -103,11 +112,18 @@ def telling_words(texts: list[str], labels: list[int], least: float = 20.0) -> t
 
 
 def _features(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """Rows of what the logistic model reads, for rows of counts."""
-    n = np.maximum(1, counts.sum(1))
-    above = [counts[:, REACH + k :].sum(1) for k in (2, 3, 4, 5)]
-    sums = counts @ ratios
-    return np.column_stack([sums / 10, sums / n * 10, *[np.log1p(a) for a in above], *[np.minimum(1, a / n) * 20 for a in above], np.log1p(n)])
+    """Rows of what the logistic model reads, for rows of counts: the same of all windows and of those of distinct words."""
+    out = []
+    for part in (counts[:, :BINS], counts[:, BINS:]):
+        n = np.maximum(1, part.sum(1))
+        above = [part[:, REACH + k :].sum(1) for k in (2, 3, 4, 5)]
+        sums = part @ ratios
+        out += [sums / 10, sums / n * 10, *[np.log1p(a) for a in above], *[a / n * 20 for a in above], np.log1p(n)]
+    return np.column_stack(out)
+
+
+#: Which weights (the constant's first) are of evidence for toxicity: all but those of the constant and of the sizes.
+EVIDENCE = np.r_[False, np.tile(np.r_[np.ones(10, bool), False], 2)]
 
 
 @dataclass
@@ -161,9 +177,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
         windows = Windows(*own)
         measured += [windows.counts(t) for t, _ in part]
         windows.clear()
-    counts = np.array(measured, float).reshape(-1, 2 * REACH + 1)
+    counts = np.array(measured, float).reshape(-1, 2 * BINS)
     y = np.array([v for part in halves for _, v in part], float)
-    seen = [counts[y == v].sum(0) + 0.5 for v in (0, 1)]
+    seen = [counts[y == v, BINS:].sum(0) + 0.5 for v in (0, 1)]
     ratios = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     x = _features(counts, ratios)
     mean, spread = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -171,12 +187,20 @@ def train(texts: list[str], labels: list[int]) -> Model:
     w = np.zeros(x.shape[1])
     ridge = np.r_[1e-6, np.full(len(w) - 1, 1.0)]
     if 0 < y.sum() < len(y):
-        for _ in range(60):  # Newton steps, shortened so that they can't diverge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-            w += step / max(1.0, np.abs(step).max() / 2)
-            if np.abs(step).max() < 1e-8:
+        free = np.ones(len(w), bool)
+        while True:
+            for _ in range(60):  # Newton steps, shortened so that they can't diverge
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                some, grade = x[:, free], x.T @ (y - p) - ridge * w
+                step = np.linalg.solve((some * (p * (1 - p) + 1e-9)[:, None]).T @ some + np.diag(ridge[free]), grade[free])
+                w[free] += step / max(1.0, np.abs(step).max() / 2)
+                if np.abs(step).max() < 1e-8:
+                    break
+            against = free & (w < 0) & EVIDENCE  # more evidence must not lower a score
+            if not against.any():
                 break
+            free &= ~against
+            w[against] = 0.0
     else:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         w[0] = np.log(share / (1 - share))
@@ -229,7 +253,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             _loaded[mark] = own, Windows(own.toxic, own.ordinary)
         own, windows = _loaded[mark]
         for batch in batches:
-            counts = np.array([windows.counts(t.as_py()) for t in batch.column(at)], float).reshape(-1, 2 * REACH + 1)
+            counts = np.array([windows.counts(t.as_py()) for t in batch.column(at)], float).reshape(-1, 2 * BINS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.scores(counts), pa.float64())], [*kept, "score"])
 
     out = df.select(*kept).mapInArrow(tidy(run), f"{fields}score double")

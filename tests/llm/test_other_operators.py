@@ -142,6 +142,29 @@ def test_toxic_words_are_learnt(spark):
     assert toxicity.score_toxicity(df.where("false"), table).count() == 0
 
 
+def test_every_mention_counts():
+    rng = random.Random(4)
+    prose = lambda n: ["".join(rng.choices(["ta", "no", "re", "mi", "lo", "ven"], k=rng.randrange(1, 4))) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(600):
+        w = prose(rng.randrange(20, 120))
+        if i % 5 == 0:
+            for _ in range(rng.randrange(1, 20)):
+                w[rng.randrange(len(w))] = "blighted"
+        texts.append(" ".join(w))
+        labels.append(int(i % 5 == 0))
+    model = toxicity.train(texts, labels)
+    windows = toxicity.Windows(model.toxic, model.ordinary)
+    base = prose(400)
+    counts = np.array([windows.counts(" ".join(["blighted"] * k + base[k:])) for k in (0, 1, 2, 5, 40, 200)], float)
+    above = counts[:, toxicity.REACH + 2 : 2 * toxicity.REACH + 1].sum(1)
+    assert (np.diff(above) > 0).all() and above[-1] >= 200
+    scores = model.scores(counts)
+    assert (np.diff(scores) > 0).all()
+    once, long = windows.counts("blighted"), windows.counts("blighted".join(["nonononononononononononononononono"] * 4))
+    assert long.sum() > 8 and long[toxicity.REACH + 2 : 2 * toxicity.REACH + 1].sum() >= 3 * once[toxicity.REACH + 2 : 2 * toxicity.REACH + 1].sum() > 0
+
+
 # sharding
 
 
