@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ _RAW = frozenset("script style noscript iframe template textarea title xmp noemb
 _UNSEEN = frozenset("script style noscript iframe template textarea title xmp noembed noframes head svg object math select option button".split())
 #: A start tag of the first kind ends open elements of the second, up to a container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+_SMALL = frozenset("p li h1 h2 h3 h4 h5 h6".split())
 _BARRIER = frozenset("ul ol dl table td th article section div main aside nav header footer form blockquote body".split())
 _TAG_WEIGHT = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0}
 _NEGATIVE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|sidebar|footer|header|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|widget|pagination|pager|copyright|toolbar|skip)(?![a-z])", re.I)
@@ -37,6 +39,8 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _WORDING = re.compile(r"©|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)", re.I)
 _MARK = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: The rest of a tag after its name: quotes count where a value begins, and one that is never closed is a character like others.
+_TAG_REST = re.compile(r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+>")
 SCALE = 1000
 #: What the element right around a block adds to its log odds.
 _KIND = {"p": 0.6, "blockquote": 0.6, "pre": 0.6, "li": -0.2} | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 0.8)
@@ -69,7 +73,9 @@ def _element_weight(tag: str, attributes: str, inside: float) -> float:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order, with white space joined; one pass over the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, weight of all around, unseen
+    # tag, weight of all around, unseen; of the block-level element around: tag, weight; number of the nearest grouping one
+    stack: list[tuple[str, float, bool, str, float, int]] = [("", 0.0, False, "", 0.0, 0)]
+    depths: dict[str, list[int]] = {}  # where in the stack elements of a name are, so that no step walks through it
     parts: list[str] = []
     linked: list[str] = []
     number = links = 0
@@ -84,13 +90,12 @@ def blocks_of(page: str) -> list[Block]:
 
     def text(raw: str) -> None:
         nonlocal where
-        if not raw or stack[-1][3]:
+        if not raw or stack[-1][2]:
             return
         said = html.unescape(raw) if "&" in raw else raw
         if not parts:
-            home = next((e for e in reversed(stack) if e[0] in _BLOCK or not e[0]), stack[0])
-            up = next((e for e in reversed(stack) if e[0] in _BLOCK and e[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")), stack[0])
-            where = (up[1], home[2] if home[2] < stack[-1][2] else stack[-1][2], _KIND.get(home[0], 0.0))
+            _, weight, _, home, home_weight, up = stack[-1]
+            where = (up, min(home_weight, weight), _KIND.get(home, 0.0))
         parts.append(said)
         if links:
             linked.append(said)
@@ -99,6 +104,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         for e in stack[depth:]:
             links -= e[0] == "a"
+            depths[e[0]].pop()
         del stack[depth:]
 
     at, end = 0, len(page)
@@ -120,31 +126,26 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:  # <!DOCTYPE>, <?xml>, </>
             at = close + 1
             continue
+        rest = _TAG_REST.match(page, m.end())
+        if rest is None:  # no end outside of quotes: an unfinished tag
+            break
+        close = rest.end() - 1
         attributes = page[m.end() : close]
-        if attributes and (attributes.count('"') & 1 or attributes.count("'") & 1):
-            quote = '"' if attributes.count('"') & 1 else "'"
-            mate = page.find(quote, close)
-            further = page.find(">", mate) if 0 <= mate < close + 2000 else -1
-            if further > 0 and "<" not in page[close:mate]:
-                close, attributes = further, page[m.end() : further]
+        if "<" in attributes:  # markup within a value says nothing about the element
+            attributes = _QUOTED.sub(lambda q: '""' if "<" in q[0] else q[0], attributes)
         at, tag = close + 1, tag.lower()
         if m[1]:
-            if tag == "p" and not any(e[0] == "p" for e in stack):
-                flush()
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
             if tag in _BLOCK:
                 flush()
-            if depth:
-                leave(depth)
+            if depths.get(tag):
+                leave(depths[tag][-1])
             continue
         if tag in _BLOCK:
             flush()
-            ends = {"p"} | _ENDS.get(tag, set())
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] in ends:
-                    leave(d)
-                elif stack[d][0] in _BARRIER:
-                    break
+            ends = _ENDS.get(tag, set()) | {"p"}
+            if opened := [d for e in ends if (d := depths.get(e))]:
+                barrier = max((d[-1] for e in _BARRIER - ends if (d := depths.get(e))), default=0)
+                leave(min((d[i] for d in opened if (i := bisect_right(d, barrier)) < len(d)), default=len(stack)))
         if tag in _VOID:
             if tag == "br":
                 text(" ")
@@ -157,11 +158,15 @@ def blocks_of(page: str) -> list[Block]:
             stop = page.find(">", close) if close >= 0 else -1
             at = end if stop < 0 else stop + 1
             continue
-        if len(stack) < 512:
-            number += 1
-            around = stack[-1]
-            stack.append((tag, number, around[2] + _element_weight(tag, attributes, around[2]), around[3] or tag in _UNSEEN))
-            links += tag == "a"
+        number += 1
+        _, around, unseen, home, home_weight, up = stack[-1]
+        weight = around + _element_weight(tag, attributes, around)
+        if tag in _BLOCK:
+            home, home_weight = tag, weight
+            up = up if tag in _SMALL else number
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append((tag, weight, unseen or tag in _UNSEEN, home, home_weight, up))
+        links += tag == "a"
     flush()
     return out
 
@@ -250,8 +255,7 @@ def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
 
     A narrow transformation: rows keep their other columns, except ones named `text` or
     `n_chars`, which are replaced. Null or empty html, or a page without main text, gives
-    an empty text. Whole pages are read, however long; nesting beyond 512 elements is
-    treated as level 512. Repeated rows give repeated results.
+    an empty text. Whole pages are read, however long or deeply nested. Repeated rows give repeated results.
     """
     others = [c for c in df.columns if c.lower() not in ("text", "n_chars", html_col.lower())]
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in others)

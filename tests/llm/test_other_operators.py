@@ -4,6 +4,7 @@ import collections
 import html
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -225,6 +226,24 @@ def test_long_and_deep_pages():
     H.extract("<" * 100_000)
 
 
+def test_long_attributes_and_what_lies_deep():
+    said = "<p>A sentence of the page, for all its readers.</p>"
+    for value in ("a > b " * 1000, "<nav class=ad>x > y</nav>" * 300, "1 > 0, it's"):
+        assert H.extract(f'<div data-x="{value}" onclick = "{value}">{said}</div>') == "A sentence of the page, for all its readers."
+    assert H.extract("<p>He is 5' tall.<b title=5'>So is</b> she, as all know.</p>") == "He is 5' tall.So is she, as all know."
+    for depth in (600, 5000):
+        for hidden in ("nav", "footer", "aside", "form", "div hidden"):
+            end = hidden.split()[0]
+            page = "<div>" * depth + f"<{hidden}><p>Not a sentence of the article, not at all.</p></{end}>{said}" + "</div>" * depth
+            assert H.extract(page) == "A sentence of the page, for all its readers.", (depth, hidden)
+        page = "<article>" + "<b>" * depth + "<article></article>" + "</b>" * depth + said + "</article><nav>" + said + "</nav>"
+        assert H.blocks_of(page)[0].weight == 5.0
+    began = time.time()
+    for page in ("<b>" * 100_000 + "<p>x</p>" * 20_000, "<li>" * 50_000 + "</i>" * 50_000, "<a b=\"'" * 50_000, "<a b='>" * 50_001, "<x>y" * 50_000):
+        H.blocks_of(page)
+    assert time.time() - began < 20
+
+
 def test_minimum_cut():
     rng = random.Random(3)
     for _ in range(250):
