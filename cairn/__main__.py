@@ -12,18 +12,16 @@ from pyspark.sql import functions as F
 from cairn.functions.codecs import ALGORITHMS
 from cairn.functions.paths import format_bytes
 from cairn.operators import metrics
+from cairn.plans.ordered import numbered
 from cairn.session import session
 from cairn.sources import container
 
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(entry_id, path, content) of files and of folders' files; ids by path order."""
-    from pyspark.sql import Window
-
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    # the listing of one command's files is short; contents are not sorted
-    ids = read.select("path").withColumn("entry_id", F.row_number().over(Window.orderBy("path")).cast("long"))
-    return read.join(F.broadcast(ids), "path").select("entry_id", F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    ids = numbered(read.select("path"), "path", "entry_id").withColumn("entry_id", F.col("entry_id") + 1)
+    return read.join(ids, "path").select("entry_id", F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
 
 
 def main(argv: list[str]) -> int:
@@ -58,6 +56,8 @@ def main(argv: list[str]) -> int:
         entries = rows.where("intact").select("entry_id", "path", "content")
         metrics.entropy(entries).join(entries.select("entry_id", "path"), "entry_id").orderBy("entry_id").show(1000, truncate=False)
     else:
+        if not spark.sparkContext.master.startswith("local"):
+            parser.error("extract writes to this machine's disk; run it with a local master")
         root = os.path.abspath(args.output)
 
         def write(part) -> None:

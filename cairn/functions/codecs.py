@@ -114,15 +114,45 @@ def decompress(algorithm: str):
 
 @F.pandas_udf(BinaryType())
 def fnv1a64(data: pd.Series) -> pd.Series:
-    """64-bit FNV-1a of bytes, big-endian."""
-
-    def one(b: bytes) -> bytes:
-        h = 0xCBF29CE484222325
-        for c in b:
-            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return h.to_bytes(8, "big")
-
-    return data.map(lambda b: None if b is None else one(b))
+    """64-bit FNV-1a of bytes, big-endian: byte by byte over a whole batch, longest values last to leave. Nulls stay."""
+    known = data.dropna()
+    sizes = known.map(len).to_numpy(np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.frombuffer(b"".join(known), np.uint8).astype(np.uint64)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    left = sizes[order]
+    h = np.full(len(known), 0xCBF29CE484222325, np.uint64)
+    live = len(known)
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        live = int(np.searchsorted(-left, -k, side="left"))
+        h[:live] = (h[:live] ^ flat[starts[:live] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(known), np.uint64)
+    out[order] = h
+    raw = out.astype(">u8").tobytes()
+    made = pd.Series([raw[8 * i : 8 * i + 8] for i in range(len(known))], index=known.index, dtype=object).reindex(data.index)
+    return made.where(made.notna(), None)
+
+
+def varint(value: Column) -> Column:
+    """The LEB128 bytes of a long's unsigned reading, as an expression."""
+    parts = []
+    for i in range(10):
+        rest = F.shiftrightunsigned(value, 7 * i) if i else value
+        more = F.shiftrightunsigned(value, 7 * (i + 1)) != 0 if i < 9 else F.lit(False)
+        byte = rest.bitwiseAND(127) + F.when(more, 128).otherwise(0)
+        one = F.unhex(F.lpad(F.hex(byte), 2, "0"))
+        parts.append(one if i == 0 else F.when(rest != 0, one).otherwise(F.lit(b"")))
+    return F.concat(*parts)
+
+
+def unvarint(data: Column, at: Column | int = 0) -> Column:
+    """(value, size) of the varint at a 0-based offset; null where it is cut short or has more than ten bytes."""
+    start = F.lit(at) if isinstance(at, int) else at
+    parts = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.conv(F.hex(F.substring(data, start + i, F.lit(1))), 16, 10).cast("long"))
+    size = F.array_position(F.transform(parts, lambda b: b < 128), True).cast("int")
+    bits = F.transform(F.slice(parts, F.lit(1), F.greatest(size, F.lit(0))), lambda b, i: F.call_function("shiftleft", b.bitwiseAND(127), i * 7))
+    value = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(size > 0, F.struct(value.alias("value"), size.alias("size")))
 
 
 def derive_key(password: str, salt: bytes, iterations: int = 100_000) -> bytes:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +30,44 @@ def fold(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def kept(word: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    long_enough = F.octet_length(word).between(MIN_BYTES, MAX_BYTES)
-    return long_enough & ~word.isin(*stopwords) if stopwords else long_enough
+@dataclass(frozen=True)
+class Rules:
+    """How texts are cut into terms: words left out, whether punctuation separates, and the lengths in bytes that are kept.
+
+    `with_word` and `without_word` give changed rules; a word that is added is folded, one that is removed must be written as it stands.
+    """
+
+    stopwords: tuple[str, ...] = STOPWORDS
+    remove_punctuation: bool = True
+    least: int = MIN_BYTES
+    most: int = MAX_BYTES
+
+    def with_word(self, word: str) -> Rules:
+        return replace(self, stopwords=tuple(dict.fromkeys((*self.stopwords, word.translate(str.maketrans(UPPER, LOWER))))))
+
+    def without_word(self, word: str) -> Rules:
+        return replace(self, stopwords=tuple(w for w in self.stopwords if w != word))
 
 
-def tokens(text: Column | str, stopwords: tuple[str, ...] = STOPWORDS, remove_punctuation: bool = True) -> Column:
+DEFAULT = Rules()
+
+
+def kept(word: Column, rules: Rules = DEFAULT) -> Column:
+    long_enough = F.octet_length(word).between(rules.least, rules.most)
+    return long_enough & ~word.isin(*rules.stopwords) if rules.stopwords else long_enough
+
+
+def tokens(text: Column | str, rules: Rules = DEFAULT) -> Column:
     """The kept, folded terms of a text in order; null text has none."""
-    words = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE_OR_PUNCTUATION if remove_punctuation else SPACE)
-    return F.filter(F.transform(words, fold), lambda w: kept(w, stopwords))
+    words = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE_OR_PUNCTUATION if rules.remove_punctuation else SPACE)
+    return F.filter(F.transform(words, fold), lambda w: kept(w, rules))
 
 
-def query_terms(query: str, stopwords: tuple[str, ...] = STOPWORDS) -> list[str]:
+def query_terms(query: str, rules: Rules = DEFAULT) -> list[str]:
     """Distinct terms of a query in order, by the same rules (on the driver; a query is short)."""
-    import re
-
-    words = re.split(r"[\s!-/:-@\[-`{-~]+", query)
+    words = re.split(r"[\t-\r !-/:-@\[-`{-~]+" if rules.remove_punctuation else r"[\t-\r ]+", query)
     low = [w.translate(str.maketrans(UPPER, LOWER)) for w in words]
-    return list(dict.fromkeys(w for w in low if MIN_BYTES <= len(w.encode()) <= MAX_BYTES and w not in stopwords))
+    return list(dict.fromkeys(w for w in low if rules.least <= len(w.encode()) <= rules.most and w not in rules.stopwords))
 
 
 def idf(total: Column, df: Column) -> Column:
@@ -58,6 +81,6 @@ def bm25(tf: Column, weight: Column, length: Column, average: Column, k1: float
     return F.when((tf == 0) | (weight <= 0) | (under <= 0), 0.0).otherwise(weight * tf * (k1 + 1.0) / under)
 
 
-def token_table(df: DataFrame, id_col: str, text_col: str, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+def token_table(df: DataFrame, id_col: str, text_col: str, rules: Rules = DEFAULT) -> DataFrame:
     """(id, term, position): one row per kept token; position counts kept tokens from 0."""
-    return df.select(F.col(id_col), F.posexplode(tokens(text_col, stopwords)).alias("position", "term"))
+    return df.select(F.col(id_col), F.posexplode(tokens(text_col, rules)).alias("position", "term"))

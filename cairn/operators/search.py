@@ -1,70 +1,164 @@
-"""Inverted index and ranked search."""
+"""Inverted index and ranked search.
+
+All functions take the tokenizer's rules. A null text has no tokens but is a document; rows that
+repeat an id are one document with the tokens of all of them; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cairn.functions import text as T
+from cairn.session import ship
 
+#: Folders that an index's postings are dealt out to by a hash of the term; a query reads one for each of its terms.
+BUCKETS = 64
 
-def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return T.token_table(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
+def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
+    return T.token_table(docs, id_col, text_col, rules).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
-def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     """(term, df, total_tf)."""
-    return term_frequencies(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    return term_frequencies(docs, id_col, text_col, rules).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     """(term, id, tf, positions ascending). One document's positions of one term are gathered, never a term's documents."""
-    return T.token_table(docs, id_col, text_col).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return T.token_table(docs, id_col, text_col, rules).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+
 
+def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
+    return docs.select(id_col, F.size(T.tokens(text_col, rules)).cast("long").alias("dl"))
 
-def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(id_col, F.size(T.tokens(text_col)).cast("long").alias("dl"))
 
+def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
+    """One row: total_documents, total_tokens, total_terms, average_length (0 if there are none).
 
-def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: total_documents, total_tokens, total_terms, average_length (0 if there are none)."""
-    lengths = document_lengths(docs, id_col, text_col).agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
-    terms = T.token_table(docs, id_col, text_col).select("term").distinct().agg(F.count("*").alias("total_terms"))
+    One pass: a row of a document without a term counts it, and rows of its distinct terms count the vocabulary.
+    """
+    found = docs.select(T.tokens(text_col, rules).alias("t")).select(F.size("t").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
+    terms = found.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    of_all = lambda c: F.coalesce(F.max(F.when(F.col("term").isNull(), F.col(c))), F.lit(0))
+    out = terms.agg(of_all("docs").alias("total_documents"), of_all("tokens").alias("total_tokens"), F.count("term").alias("total_terms"))
     average = F.when(F.col("total_documents") == 0, 0.0).otherwise(F.col("total_tokens") / F.greatest("total_documents", F.lit(1)))
-    return lengths.crossJoin(terms).withColumn("average_length", F.round(average, 6))
+    return out.withColumn("average_length", F.round(average, 6))
 
 
-def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     """(id, term, position, byte_offset, byte_length) of kept tokens.
 
-    The text is cut into runs of token and separator characters; offsets are sums of the
-    byte lengths before, by a higher-order function within the row.
+    Texts are cut as bytes within their row, in Arrow batches; nothing is shuffled and time grows with the text's length.
+    Null ids stay null; repeated rows give repeated results.
     """
-    runs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([\s\p{Punct}]+|[^\s\p{Punct}]+)"), F.lit(1))
-    sized = docs.select(F.col(id_col), F.posexplode(runs).alias("_run", "_text"))
-    w = Window.partitionBy(id_col).orderBy("_run")
-    placed = sized.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    words = placed.where(~F.col("_text").rlike(r"^[\s\p{Punct}]")).withColumn("term", T.fold(F.col("_text"))).where(T.kept(F.col("term")))
-    return words.select(id_col, "term", (F.row_number().over(w) - 1).alias("position"), "byte_offset", F.octet_length("_text").alias("byte_length"))
+    ship(docs.sparkSession)
+    word = re.compile(rb"[^\t-\r !-/:-@\[-`{-~]+" if rules.remove_punctuation else rb"[^\t-\r ]+")
+    left_out, least, most = frozenset(w.encode() for w in rules.stopwords), rules.least, rules.most
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            for i, text in enumerate(batch.column(1)):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                found = [(m.start(), t) for m in word.finditer(raw) if least <= len(t := m[0].lower()) <= most and t not in left_out]
+                for c, values in zip(cols, ([i] * len(found), [t.decode("utf-8", "replace") for _, t in found], range(len(found)), [s for s, _ in found], [len(t) for _, t in found]), strict=True):
+                    c.extend(values)
+                if len(cols[0]) > 200_000 or i + 1 == batch.num_rows:
+                    types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+                    made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(made[0]), *made[1:]], [id_col, "term", "position", "byte_offset", "byte_length"])
+                    cols = ([], [], [], [], [])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, term string, position int, byte_offset long, byte_length int")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings (term, id, tf, positions, dl) in folders by a hash of the term, and corpus statistics."""
+
+    folder: str
+    id_col: str
+    rules: T.Rules
+    buckets: int
+    documents: int
+    average: float
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/postings")
 
+    def of_terms(self, spark: SparkSession, terms: list[str]) -> DataFrame:
+        """Postings of some terms; only their folders are read, and row groups are skipped by the sorted term."""
+        wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), self.buckets)).distinct().collect()] if terms else []
+        return self.postings(spark).where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
 
-def search(docs: DataFrame, query: str, limit: int | None = 10, min_score: float = 0.0, require_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """BM25: (id, score, matched_terms), best first, ties by id.
+
+def write_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT, buckets: int = BUCKETS) -> Index:
+    """Write the postings of all documents to a folder, with the document's length beside each, and sum up the corpus.
+
+    They are dealt out by folder and a salt of the document, so that a term of every document is written by many tasks; ids should be unique.
+    """
+    rows = docs.select(F.col(id_col), T.tokens(text_col, rules).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    counted = rows.select(id_col, "dl", F.posexplode("t").alias("position", "term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    placed = counted.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+    placed.sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    n, average = rows.agg(F.count("*"), F.avg("dl")).first()
+    return Index(folder, id_col, rules, buckets, n, average or 0.0)
+
+
+def search_index(spark: SparkSession, index: Index, query: str, limit: int | None = 10, min_score: float = 0.0, require_all: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over a stored index: (id, score, matched_terms), best first, ties by id.
+
+    Reads the postings of the query's terms only. How many documents hold a term is one row for each, and the sums by document are partial
+    aggregates. Scores are rounded to 6 places before they are compared. A query without terms, or without hits, finds nothing.
+    """
+    terms = T.query_terms(query, index.rules)
+    hits = index.of_terms(spark, terms).select("term", index.id_col, "tf", "dl")
+    held = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = hits.join(F.broadcast(held), "term")  # one row for each term of the query
+    score = T.bm25(F.col("tf"), T.idf(F.lit(index.documents), F.col("df")), F.col("dl"), F.lit(float(index.average)), k1, b)
+    place = F.array_position(F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>"), F.col("term"))
+    each = [F.coalesce(F.max(F.when(F.col("term") == t, score)), F.lit(0.0)) for t in terms]  # added up in the query's order, so that sums don't depend on the plan
+    out = weighed.groupBy(index.id_col).agg(sum(each, F.lit(0.0)).alias("s"), F.count("*").alias("found"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "term"))).alias("m"))
+    out = out.select(index.id_col, F.round("s", 6).alias("score"), "found", F.array_join(F.transform("m", lambda x: x.getField("term")), " ").alias("matched_terms"))
+    if require_all:
+        out = out.where(F.col("found") == len(terms))
+    out = out.where(F.col("score") >= min_score).drop("found")
+    return out if limit is None else out.orderBy(F.desc("score"), index.id_col).limit(limit)
+
+
+def search(docs: DataFrame, query: str, limit: int | None = 10, min_score: float = 0.0, require_all: bool = False, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 without an index: one scan of the texts, for a table that is searched once. Results are those of `search_index`.
 
     Only the query's terms leave the scan: a row's tokens are filtered to them before anything is
-    shuffled, and corpus statistics are one small aggregate. Scores are rounded to 6 places
-    before they are compared. A query without terms finds nothing.
+    shuffled, and corpus statistics are one small aggregate.
     """
-    terms = T.query_terms(query)
+    terms = T.query_terms(query, rules)
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    rows = docs.select(F.col(id_col), T.tokens(text_col).alias("_t")).select(id_col, F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_t"))
+    rows = docs.select(F.col(id_col), T.tokens(text_col, rules).alias("_t")).select(id_col, F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_t"))
     counts = [F.sum(F.when(F.array_contains("_t", t), 1).otherwise(0)).alias(f"df_{i}") for i, t in enumerate(terms)]
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *counts)
     hits = rows.where(F.size("_t") > 0).crossJoin(F.broadcast(stats))  # one row
     score, matched = F.lit(0.0), []
     for i, t in enumerate(terms):
         tf = F.size(F.filter("_t", _equals(t)))
-        score = score + T.bm25(tf, T.idf(F.col("n"), F.col(f"df_{i}")), F.col("dl"), F.col("average"))
+        score = score + T.bm25(tf, T.idf(F.col("n"), F.col(f"df_{i}")), F.col("dl"), F.col("average"), k1, b)
         matched.append(F.when(F.array_contains("_t", t), t))
     out = hits.select(id_col, F.round(score, 6).alias("score"), F.array_compact(F.array(*matched)).alias("m") if terms else F.array().cast("array<string>").alias("m"))
     if require_all:
@@ -82,9 +176,9 @@ def remove_documents(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -
     return index.join(ids.select(id_col), id_col, "left_anti")
 
 
-def reindex(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reindex(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     """Postings after (re-)indexing `docs`: their old ones are replaced."""
-    return remove_documents(index, docs, id_col).unionByName(postings(docs, id_col, text_col))
+    return remove_documents(index, docs, id_col).unionByName(postings(docs, id_col, text_col, rules))
 
 
 def delta_postings(lists: DataFrame) -> DataFrame:
@@ -92,6 +186,12 @@ def delta_postings(lists: DataFrame) -> DataFrame:
     return lists.withColumn("deltas", F.transform("positions", lambda x, i: x - F.when(i == 0, 0).otherwise(F.col("positions")[F.greatest(i - 1, F.lit(0))])))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _sums(deltas: pd.Series) -> pd.Series:
+    return deltas.map(lambda d: None if d is None else np.cumsum(d))
+
+
 def undelta_postings(lists: DataFrame) -> DataFrame:
-    sums = F.transform("deltas", lambda x, i: F.aggregate(F.slice("deltas", 1, i + 1), F.lit(0), lambda a, b: a + b))
-    return lists.withColumn("positions", sums)
+    """Positions from differences, by one running sum for each list."""
+    ship(lists.sparkSession)
+    return lists.withColumn("positions", _sums("deltas"))

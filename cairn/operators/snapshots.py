@@ -61,38 +61,70 @@ def manifest_stats(nodes: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Snapshots kept as partitions snapshot_id=N of one parquet folder; ids are sequential, the parent is the newest before."""
+    """Snapshots in one folder: a parquet table for each, and a log of events that says which ones exist and which is current.
+
+    Ids are sequential, a new one's parent is the current one. The log has one short row per event and is read on the driver.
+    """
+
+    LOG = "number long, event string, snapshot_id long, parent_id long, label string"
 
     def __init__(self, spark, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _list(self) -> DataFrame | None:
+    def _events(self) -> list:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.parquet(f"{self.folder}/log")
+            return self.spark.read.schema(self.LOG).parquet(f"{self.folder}/log").orderBy("number").collect()
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return None
+            return []
+
+    def _note(self, event: str, snapshot: int, parent: int = 0, label: str = "") -> None:
+        self.spark.createDataFrame([(len(self._events()) + 1, event, snapshot, parent, label)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+
+    def _state(self) -> tuple[dict[int, tuple[int, str]], int, int]:
+        """(snapshots by id with parent and label, the current id or 0, the next id)."""
+        kept: dict[int, tuple[int, str]] = {}
+        current, following = 0, 1
+        for e in self._events():
+            if e.event == "delete":
+                kept.pop(e.snapshot_id, None)
+                current = max(kept, default=0) if current == e.snapshot_id else current
+                continue
+            current = e.snapshot_id
+            if e.event == "add":
+                kept[e.snapshot_id] = (e.parent_id, e.label)
+                following = max(following, e.snapshot_id + 1)
+        return kept, current, following
 
     def ids(self) -> list[int]:
-        """Ids in order; a snapshot log is short."""
-        log = self._list()
-        if log is None:
-            return []
-        return sorted(r[0] for r in log.groupBy("snapshot_id").agg(F.max("deleted").alias("d")).where("not d").collect())
+        return sorted(self._state()[0])
+
+    def count(self) -> int:
+        return len(self._state()[0])
+
+    def list(self) -> DataFrame:
+        """(snapshot_id, parent_id, label, current) by id."""
+        kept, current, _ = self._state()
+        return self.spark.createDataFrame([(i, *kept[i], i == current) for i in sorted(kept)], "snapshot_id long, parent_id long, label string, current boolean")
+
+    def _put(self, snapshot: int, nodes: DataFrame, parent: int, label: str) -> None:
+        nodes.select("path", *FIELDS).write.mode("overwrite").parquet(f"{self.folder}/snapshot_id={snapshot}")
+        self._note("add", snapshot, parent, label)
 
     def create(self, nodes: DataFrame, label: str = "") -> int:
-        log = self._list()
-        used = 0 if log is None else log.agg(F.max("snapshot_id")).first()[0]
-        parents, new = self.ids(), used + 1
-        nodes.select("path", *FIELDS).write.mode("overwrite").parquet(f"{self.folder}/snapshot_id={new}")
-        self._note(new, parents[-1] if parents else 0, label or f"snapshot_{new}", False)
+        _, current, new = self._state()
+        self._put(new, nodes, current, label or f"snapshot_{new}")
         return new
 
-    def _note(self, snapshot: int, parent: int, label: str, deleted: bool) -> None:
-        self.spark.createDataFrame([(snapshot, parent, label, deleted)], "snapshot_id long, parent_id long, label string, deleted boolean").coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+    def register(self, snapshot: int, nodes: DataFrame, label: str = "", parent: int = 0) -> bool:
+        """Put in a snapshot under its own id and make it current; False, and nothing done, if the id is taken."""
+        if snapshot in self._state()[0]:
+            return False
+        self._put(snapshot, nodes, parent, label or f"snapshot_{snapshot}")
+        return True
 
     def get(self, snapshot: int) -> DataFrame:
         if snapshot not in self.ids():
@@ -100,14 +132,27 @@ class Catalog:
         return self.spark.read.parquet(f"{self.folder}/snapshot_id={snapshot}")
 
     def current(self) -> int | None:
-        """The newest snapshot that is left."""
-        return max(self.ids(), default=None)
+        """The snapshot made, registered or checked out last; the newest that is left once that one is deleted."""
+        return self._state()[1] or None
+
+    def checkout(self, snapshot: int) -> bool:
+        if snapshot not in self.ids():
+            return False
+        self._note("checkout", snapshot)
+        return True
 
     def delete(self, snapshot: int) -> bool:
         if snapshot not in self.ids():
             return False
-        self._note(snapshot, 0, "", True)
+        self._note("delete", snapshot)
         return True
 
     def delta(self, old: int, new: int) -> DataFrame:
-        return delta(self.get(old), self.get(new))
+        """Changes from one snapshot to another, with their ids as base_id and target_id."""
+        return delta(self.get(old), self.get(new)).withColumns({"base_id": F.lit(old).cast("long"), "target_id": F.lit(new).cast("long")})
+
+    def apply(self, base: int, changes: DataFrame, target: int, label: str = "") -> bool:
+        """Register the target of a delta of `delta`; False if some change was made against another base, or the target id is taken."""
+        if not changes.where(F.col("base_id") != base).isEmpty():
+            return False
+        return self.register(target, apply_patch(self.get(base), changes), label or f"reconstructed_snap_{target}", base)

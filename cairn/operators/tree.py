@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths as P
+from cairn.plans.ordered import numbered
+
+
+def _parts(path: str) -> list[str]:
+    return [x for x in path.split("/") if x not in ("", ".", "..")]
 
 
 def find_path(entries: DataFrame, path: str) -> DataFrame:
-    return entries.where(P.normalize("path") == F.lit("/" + "/".join(x for x in path.split("/") if x not in ("", ".", ".."))))
+    """Entries at a path, both sides normalised; several if paths repeat, none for null paths."""
+    return entries.where(P.normalize("path") == F.lit("/" + "/".join(_parts(path))))
 
 
 def find_id(entries: DataFrame, entry_id: int) -> DataFrame:
@@ -49,8 +55,17 @@ def nodes(entries: DataFrame) -> DataFrame:
 
 
 def list_directory(entries: DataFrame, directory: str) -> DataFrame:
-    """Direct children of a directory: entries and subdirectories."""
-    return nodes(entries).where((P.parent(F.col("path")) == directory) & (F.col("path") != "/"))
+    """Direct children of a directory, entries and subdirectories, once each: (path, depth, is_leaf).
+
+    Only entries below the directory are looked at. The directory may be written in any form that normalises
+    to it; one that is missing, empty, or a leaf has no children. Null paths are below none.
+    """
+    parts = _parts(directory)
+    home = "".join("/" + x for x in parts) + "/"
+    below = entries.select(P.normalize("path").alias("path")).where(F.col("path").startswith(home) & (F.col("path") != home))
+    rest = F.substring_index(F.expr(f"substring(path, {len(home) + 1})"), "/", 1)
+    child = F.concat(F.lit(home), rest)
+    return below.groupBy(child.alias("child")).agg(F.min((F.col("path") == child).cast("int")).alias("leaf")).select(F.col("child").alias("path"), F.lit(len(parts) + 1).alias("depth"), (F.col("leaf") == 1).alias("is_leaf"))
 
 
 def directory_rollup(entries: DataFrame) -> DataFrame:
@@ -59,14 +74,13 @@ def directory_rollup(entries: DataFrame) -> DataFrame:
 
 
 def preorder(entries: DataFrame) -> DataFrame:
-    """Nodes in depth-first order, children by name: (position, path). A range sort; ranks come from per-range counts."""
-    listed = nodes(entries).withColumn("key", F.array_join(P.components("path"), "\u0001"))
-    listed = listed.withColumn("top", F.coalesce(F.try_element_at(P.components("path"), F.lit(1)), F.lit("")))
-    sizes = listed.groupBy("top").agg(F.count("*").alias("n"))
-    w = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("top", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("top").orderBy("key")) - 1
-    return listed.join(starts, "top").select((F.col("start") + rank).alias("position"), "path")
+    """Nodes in depth-first order, children by name: (position from 0, path).
+
+    Ordered by the path's components, which is the order of the walk. Nodes are sorted by ranges of that key, however
+    many share a first component, and positions come from counts per partition. An entry with a null path is no node.
+    """
+    listed = nodes(entries.where(F.col("path").isNotNull())).select("path", F.array_join(P.components("path"), "\u0001").alias("key"))
+    return numbered(listed, "key").select("position", "path")
 
 
 def remove_subtree(entries: DataFrame, path: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import codecs, paths, text
-from cairn.operators import chunks, journals, metadata, metrics, search, snapshots, tree
+from cairn.operators import blocks, chunks, journals, metadata, metrics, search, snapshots, tree
 from cairn.plans import catalog_sql
 from cairn.plans.inputs import spread
 from cairn.plans.ordered import running
@@ -69,7 +70,7 @@ def postings(spark, sf):
 def posting_deltas(spark, sf):
     coded = search.delta_postings(search.postings(_docs(spark, sf)))
     back = search.undelta_postings(coded.withColumnRenamed("positions", "original"))
-    return back.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(F.expr("aggregate(deltas, 0, (a, x) -> a + x)")).cast("long").alias("last_positions"), F.count_if(F.col("original") != F.col("positions")).alias("broken"))
+    return back.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(F.expr("aggregate(deltas, 0, (a, x) -> a + x)")).cast("long").alias("last_positions"), F.sum(F.expr("aggregate(positions, 0L, (a, x) -> a + x)")).alias("all_positions"))
 
 
 @query
@@ -77,24 +78,48 @@ def corpus_stats(spark, sf):
     return search.corpus_stats(_docs(spark, sf))
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    """The stored index of the documents, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = search.write_index(_docs(spark, sf), shared_folder(spark, "index"))
+    return _indexes[key]
+
+
 @query
 def bm25_search(spark, sf):
-    return search.search(_docs(spark, sf), QUERY)
+    return search.search_index(spark, _index(spark, sf), QUERY)
 
 
 @query
 def bm25_all_terms(spark, sf):
-    return search.search(_docs(spark, sf), "theaea onlyhe", require_all=True, limit=None)
+    return search.search_index(spark, _index(spark, sf), "theaea onlyhe", require_all=True, limit=None)
 
 
 @query
 def bm25_min_score(spark, sf):
-    return search.search(_docs(spark, sf), QUERY, min_score=2.5, limit=None)
+    return search.search_index(spark, _index(spark, sf), QUERY, min_score=2.5, limit=None)
+
+
+@query
+def bm25_scan(spark, sf):
+    """The search without an index, with other parameters of the score."""
+    return search.search(_docs(spark, sf), QUERY, limit=20, k1=2.0, b=0.5)
+
+
+@query
+def tokenize_by_white_space(spark, sf):
+    """Terms where punctuation is kept and a word is left out beside the usual ones."""
+    rules = replace(text.DEFAULT, remove_punctuation=False).with_word("THEAEA")
+    return search.document_frequency(_docs(spark, sf), rules=rules)
 
 
 @query
 def remove_and_reindex(spark, sf):
-    """Index without English documents, then with every tenth one put in again in capitals."""
+    """Index without French and English documents, then with the German ones put in again in capitals."""
     d = load(spark, sf, "documents")
     index = search.remove_documents(search.postings(d.where("lang <> 'fr'").select("doc_id", "text")), d.where("lang = 'en'"))
     again = search.reindex(index, d.where("lang = 'de'").select("doc_id", F.translate("text", text.LOWER, text.UPPER).alias("text")))
@@ -238,9 +263,11 @@ def missing_chunks(spark, sf):
 
 @query
 def register_chunks(spark, sf):
+    """Chunks of the benchmark as a store that those of the documents are put in."""
     e = T.document_entries(spark, sf)
-    one = chunks.unique_chunks(chunks.fixed_chunks(e.where("entry_id % 2 = 0"), 1024)).select("sha256", "chunk_size")
-    two = chunks.unique_chunks(chunks.fixed_chunks(e.where("entry_id % 3 = 0"), 1024)).select("sha256", "chunk_size")
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("content"))
+    one = chunks.unique_chunks(chunks.fixed_chunks(b, 1024)).select("sha256", "chunk_size")
+    two = chunks.unique_chunks(chunks.fixed_chunks(e, 1024)).select("sha256", "chunk_size")
     return chunks.register_chunks(one, two)
 
 
@@ -507,11 +534,14 @@ def zigzag_varints(spark, sf):
 
 @query
 def varint_roundtrip(spark, sf):
+    """Lists of numbers as varints by the batch codec, and their sum when read again; the first one's bytes by expressions, read by expressions."""
     ship(spark)
     rows = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_partkey") * 1_000_003)).alias("v"))
-    coded = rows.select("l_orderkey", "v", codecs.varint_udf("v").alias("raw"))
-    size = F.aggregate(F.transform("v", codecs.varint_size), F.lit(0), lambda a, b: a + b)
-    return coded.select("l_orderkey", (codecs.unvarint_udf("raw") == F.col("v")).alias("same"), (F.octet_length("raw") == size).alias("sized"))
+    raw = codecs.varint_udf("v")
+    coded = rows.select("l_orderkey", raw.alias("bytes"), codecs.varint(F.col("v")[0]).alias("one"))
+    total = F.aggregate(codecs.unvarint_udf("bytes"), F.lit(0).cast("long"), lambda a, b: a + b)
+    head = codecs.unvarint(F.col("bytes"))
+    return coded.select("l_orderkey", F.lower(F.hex("bytes")).alias("raw"), F.lower(F.hex("one")).alias("first"), total.alias("total"), head["value"].alias("first_value"), head["size"].alias("first_size"))
 
 
 @query
@@ -547,6 +577,138 @@ def aes_roundtrip(spark, sf):
     return rows.select("entry_id", (codecs.decrypt(F.col("sealed"), KEY).cast("string") == F.col("content")).alias("same"), (F.octet_length("sealed") - F.octet_length("content")).cast("long").alias("overhead"), (F.substring("sealed", 1, 12) == F.col("iv")).alias("iv_first"), codecs.decrypt(F.col("sealed"), bytes(32)).isNull().alias("wrong_key_fails"))
 
 
+# blocks
+
+
+@query
+def compressed_blocks(spark, sf):
+    """Contents in blocks of 512 bytes, each compressed and framed on its own, taken out of their frames, unpacked and joined again."""
+    made = blocks.compress_blocks(_contents(spark, sf), "zstd", 512)
+    bound = made.groupBy("entry_id").agg(F.count("*").alias("blocks"), F.sum(blocks.size_bound(F.col("original_size"), "zstd")).cast("long").alias("bound"), F.bool_and(F.col("stored_size") <= blocks.size_bound(F.col("original_size"), "zstd")).alias("within"))
+    framed = made.withColumn("p", blocks.parse_frame(blocks.frame(F.col("block"), F.col("original_size"), "zstd")))
+    back = blocks.decompress_blocks(framed.select("entry_id", "ordinal", F.col("p.original_size").alias("original_size"), "crc32", F.col("p.block").alias("block")), "zstd")
+    return back.join(bound, "entry_id").select("entry_id", "blocks", "bound", "within", F.sha2("content", 256).alias("sha256"), "error")
+
+
+@query
+def size_bounds(spark, sf):
+    size = F.floor(F.pow(F.lit(3.0), F.col("p_partkey") % 19)).cast("long")
+    return load(spark, sf, "part").select("p_partkey", size.alias("size"), *[blocks.size_bound(size, a).cast("long").alias(a) for a in codecs.ALGORITHMS])
+
+
+@query
+def block_frames(spark, sf):
+    """Frames of contents: the header, and what parsing gives of frames that are whole, cut short, out of step or missing their header."""
+    e = T.document_entries(spark, sf).select("entry_id", F.col("content").cast("binary").alias("c"))
+    made = e.select("entry_id", blocks.frame(F.col("c"), F.octet_length("c")).alias("f"))
+    i = F.col("entry_id") % 4
+    hurt = F.when(i == 1, F.concat(F.lit(b"X"), "f")).when(i == 2, F.substring(F.col("f"), F.lit(1), F.octet_length("f") - 1)).when(i == 3, F.substring("f", 1, 20)).otherwise(F.col("f"))
+    return made.select("entry_id", F.lower(F.hex(F.substring("f", 1, blocks.FRAME_HEADER))).alias("header"), blocks.parse_frame(hurt).alias("p"), blocks.is_frame(hurt).alias("is_frame")).select("entry_id", "header", "is_frame", "p.error", "p.original_size", "p.algorithm", F.sha2("p.block", 256).alias("sha256"))
+
+
+@query
+def block_store(spark, sf):
+    """Documents stored as blocks, every third replaced, every seventh deleted; then all ids and some unknown ones are read."""
+    e = T.document_entries(spark, sf).select(F.col("entry_id").alias("block_id"), F.col("content").cast("binary").alias("data"))
+    store = blocks.BlockStore(spark, shared_folder(spark, "blocks"))
+    store.write(e)
+    store.write(e.where("block_id % 3 = 0").select("block_id", F.concat(F.lit(b"v2:"), "data").alias("data")))
+    store.delete(e.where("block_id % 7 = 0"))
+    wanted = e.select("block_id").unionByName(e.where("block_id % 50 = 0").select((-F.col("block_id") - 1).alias("block_id")))
+    return store.read(wanted).select("block_id", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha256"), "error")
+
+
+# writing of journals and recovery
+
+
+@query
+def journal_payloads(spark, sf):
+    """Payloads of entries, and what is read out of them."""
+    j = T.journal(spark, sf)
+    raw = journals.payload(F.col("type"), F.col("entry_id"), F.col("data"))
+    back = j.select("seq", "type", raw.alias("raw")).withColumn("p", journals.parsed_payload(F.col("type"), F.col("raw")))
+    return back.select("seq", "type", F.lower(F.hex("raw")).alias("raw"), "p.entry_id", F.col("p.data").cast("string").alias("data"))
+
+
+@query
+def journal_written(spark, sf):
+    """Events as requests to a journal writer; every fifth commit asks for an end first."""
+    j = T.journal(spark, sf)
+    requests = j.select(F.col("seq").alias("request"), F.when((F.col("type") == journals.COMMIT) & (F.col("seq") % 5 == 0), journals.END).otherwise(F.col("type")).alias("type"), "entry_id", "data")
+    return journals.written(requests).select("request", "seq", "type", "error")
+
+
+@query
+def journal_recovery(spark, sf):
+    """Recovery where every 13th entry can't be applied, by each strategy."""
+    fails = F.col("seq") % 13 == 0
+    each = [journals.recovered(T.journal(spark, sf), fails, s).select(F.lit(s).alias("strategy"), "*") for s in (journals.AUTOMATIC, journals.BEST_EFFORT, journals.MANUAL)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query
+def journal_recovery_errors(spark, sf):
+    return journals.recovery_errors(T.journal(spark, sf), F.col("seq") % 13 == 0)
+
+
+# dashboard
+
+
+def _dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    e = T.document_entries(spark, sf)
+    storage = e.agg(F.count("*").alias("entries"), F.sum("original_size").alias("raw")).crossJoin(F.broadcast(chunks.dedup_summary(chunks.fixed_chunks(e, 1024)).select(F.col("stored_bytes").alias("packed"), F.col("unique_chunks").alias("blocks"))))  # one row each
+    v = load(spark, sf, "events")
+    accesses = v.select(F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "error", False).alias("hit"))
+    done = T.journal(spark, sf).select(F.when(F.col("type") == "Commit", True).when(F.col("type") == "Abort", False).alias("committed"))
+    return metrics.dashboard(storage, accesses, done, fragmentation_total(spark, sf))
+
+
+@query
+def dashboard_text(spark, sf):
+    bar = entropy_bar(spark, sf)
+    return _dashboard(spark, sf).crossJoin(F.broadcast(bar)).select(metrics.text_report("documents", F.col("bar")).alias("report"))  # one row each
+
+
+@query
+def dashboard_json(spark, sf):
+    d = _dashboard(spark, sf)
+    return d.select(metrics.json_report("documents", F.col("entries")).alias("report"))
+
+
+# snapshots kept in a folder, and small encodings
+
+
+@query
+def snapshot_catalog(spark, sf):
+    """Two snapshots, the target of their delta under an id of its own, a refused repeat, a deletion and a checkout."""
+    base, target = T.snapshot_nodes(spark, sf)
+    c = snapshots.Catalog(spark, shared_folder(spark, "snapshots"))
+    one, two = c.create(base, "base"), c.create(target)
+    changes = c.delta(one, two)
+    c.apply(one, changes, 10)
+    c.register(10, base)
+    c.apply(two, changes, 11)
+    c.checkout(one)
+    three = c.create(base, "again")
+    c.delete(two)
+    c.checkout(10)
+    sizes = [snapshots.manifest_stats(c.get(i)).withColumn("snapshot_id", F.lit(i).cast("long")) for i in (one, 10, three)]
+    return c.list().join(sizes[0].unionByName(sizes[1]).unionByName(sizes[2]), "snapshot_id")
+
+
+@query
+def scalar_encodings(spark, sf):
+    """Slices and joins of bytes, sizes that overflow, times in seconds and nanoseconds, and ids of two halves."""
+    e = load(spark, sf, "events")
+    raw = F.col("event_type").cast("binary")
+    at = F.col("ts").cast("timestamp")
+    micros = F.unix_micros(at)
+    joined = F.concat(F.substring(raw, 3, 3), F.lit(b"-"), raw)
+    size = F.try_multiply(F.col("event_id") * 1_000_000_007, F.lit(9_000_000_000).cast("long"))
+    halves = F.struct((F.col("user_id") % 3).alias("high"), F.col("event_id").alias("low"))
+    return e.select("event_id", F.lower(F.hex(joined)).alias("joined"), size.alias("size"), F.floor(micros / 1_000_000).cast("long").alias("seconds"), (F.pmod(micros, F.lit(1_000_000)) * 1000).alias("nanos"), (F.timestamp_micros(micros) == at).alias("same"), (halves < F.struct(F.lit(1).cast("long").alias("high"), F.lit(500).cast("long").alias("low"))).alias("before"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -1,26 +1,66 @@
 """Running computations over a whole ordered table without one-task windows.
 
-Rows are cut into ranges of the order key (bounds from a quantile sketch, one small
-action); what a range hands on to the next is computed over the handful of ranges and
-joined back by broadcast, so only rows of one range meet in a task.
+Rows are cut into ranges of the order key (bounds from a quantile sketch, one or two small
+actions), as many as keep a range at about RANGE_ROWS rows; what a range hands on to the next is
+computed over one row per range and joined back by broadcast, so only rows of one range meet in a
+task. A table of a trillion rows has a million ranges, whose handed-on rows take some 20 MB.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.plans.inputs import stored
+
+#: Ranges of small tables; a larger one has a range for every RANGE_ROWS rows.
 RANGES = 64
+RANGE_ROWS = 1_000_000
+
+
+def _grid(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
+
+
+def with_range(df: DataFrame, key: str, ranges: int = RANGES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add `_range`, which never decreases with the (numeric) key; rows with one key are in one range, null keys in the first.
+
+    The bounds are searched in two steps, first among every k-th of them, so a row is compared with about
+    twice the square root of their number.
+    """
+    rows, bounds = df.agg(F.count(key), F.percentile_approx(key, _grid(ranges), 10_000)).first()
+    wanted = -(-rows // range_rows)
+    if wanted > ranges:
+        bounds = df.agg(F.percentile_approx(key, _grid(wanted), 20 * wanted)).first()[0]
+    distinct = sorted(set(bounds or []))
+    if not distinct:
+        return df.withColumn("_range", F.lit(0))
+    step = isqrt(len(distinct)) + 1
+    groups = [distinct[i : i + step] for i in range(0, len(distinct), step)]
+    # split and cast of constants are folded once by the optimizer; a literal for each bound would make the plan long
+    constant = lambda values: f"cast(split('{','.join(map(str, values))}', ',') as array<{df.schema[key].dataType.simpleString()}>)"
+    firsts, inner = F.expr(constant(g[0] for g in groups)), F.expr(f"array({', '.join(map(constant, groups))})")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col(key)))
+    group = below(firsts)
+    at = F.when(group > 0, (group - 1) * step + below(F.element_at(inner, F.greatest(group, F.lit(1))))).otherwise(0)
+    return df.withColumn("_range", F.when(F.col(key).isNull(), 0).otherwise(at))
+
 
+def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """Rows with their position from 0 in the order of a key of any type, which is unique.
 
-def with_range(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
-    """Add `_range`, which never decreases with the (numeric) key; rows with one key are in one range."""
-    bounds = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    at = F.lit(0)
-    distinct = sorted(set(bounds))
-    if distinct:
-        at = F.size(F.filter(F.array(*[F.lit(b) for b in distinct]), lambda b: b < F.col(key)))
-    return df.withColumn("_range", at)
+    A range sort whose result is written to the shared folder with ids that count within a partition; the starts
+    of the partitions are a sum over one row for each, joined back by broadcast. No window reads rows.
+    """
+    listed = stored(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = listed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = listed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_start")
 
 
 def running(df: DataFrame, key: list[str], value: Column, ranges: int = RANGES, inclusive: bool = False, name: str = "running") -> DataFrame:

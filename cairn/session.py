@@ -40,12 +40,15 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """The name of a new folder that driver and executors share.
 
-    It lies in `spark.checkpoint.dir`. Where that setting is missing (tests, one
-    machine) a temporary folder is made once for the process and removed at its end.
+    It lies in `spark.checkpoint.dir`. Where that setting is missing and the session runs in one
+    process (tests) a temporary folder is made once for it and removed at its end; on a cluster
+    that would be another disk on each machine, so there it is an error.
     """
     global _own_folder
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="cairn-")
             atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
@@ -18,6 +19,8 @@ def connect(sf_dir: str = DATA):
 
 
 def _plain(x):
+    if x is pd.NA:
+        return None
     if hasattr(x, "item"):
         x = x.item()
     if isinstance(x, float):

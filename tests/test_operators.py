@@ -3,13 +3,14 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import codecs, paths, text
-from cairn.operators import chunks, journals, metadata, metrics, search, snapshots, tree
+from cairn.operators import blocks, chunks, journals, metadata, metrics, search, snapshots, tree
 from cairn.plans import ordered
 
 CORPUS = [(1, "distributed file storage and archive systems"), (2, "embedded database indexing with btree and hashtable"), (3, "high throughput distributed archive indexing database")]
@@ -42,7 +43,7 @@ def test_tokens(spark):
     assert got[0] == ["quick", "brown", "fox", "jumps", "lazy", "dog"]
     assert got[1] == ["don", "É", "àà"]
     assert got[2] == []
-    kept = df.select(text.tokens("t", stopwords=(), remove_punctuation=False)).first()[0]
+    kept = df.select(text.tokens("t", text.Rules(stopwords=(), remove_punctuation=False))).first()[0]
     assert kept[-1] == "dog!"
 
 
@@ -307,3 +308,90 @@ def test_checksums(spark):
     assert rows[0][0] == zlib.crc32(b"123456789") == 3421780262
     assert rows[1][1] == "cbf29ce484222325"
     assert math.isclose(1.0, 1.0)
+
+
+def test_many_ranges(spark):
+    rng = random.Random(5)
+    keys = rng.sample(range(100_000), 3000)
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long").repartition(5)
+    ranged = ordered.with_range(df, "k", ranges=8, range_rows=20)
+    rows = sorted((r.k, r._range) for r in ranged.collect())
+    assert [r for _, r in rows] == sorted(r for _, r in rows) and rows[-1][1] > 100
+    assert max(Counter(r for _, r in rows).values()) <= 60
+    assert [(r.k, r.position) for r in ordered.numbered(df.withColumn("s", F.lpad("k", 6, "0")), "s").orderBy("k").collect()] == [(k, i) for i, k in enumerate(sorted(keys))]
+    assert ordered.numbered(df.limit(0), "k").count() == 0
+
+
+def test_directories_in_any_form(spark):
+    e = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/b"), (3, "a//./d/../e"), (4, None), (5, "/ab/x"), (6, "/a")], "entry_id long, path string")
+    listed = {(r.path, r.depth, r.is_leaf) for r in tree.list_directory(e, "./a//").collect()}
+    assert listed == {("/a/b", 2, False), ("/a/d", 2, False)}
+    assert {r.path for r in tree.list_directory(e, "/").collect()} == {"/a", "/ab"}
+    assert tree.list_directory(e, "/a/b/c").count() == tree.list_directory(e, "/none").count() == 0
+    assert [r.path for r in tree.preorder(e).orderBy("position").collect()] == ["/", "/a", "/a/b", "/a/b/c", "/a/d", "/a/d/e", "/ab", "/ab/x"]
+
+
+def test_interval_join_of_any_size(spark):
+    b = spark.createDataFrame([(1, 0, 1 << 40), (2, 1 << 40, 3), (3, (1 << 40) + 3, 0), (4, (1 << 40) + 3, 70_000), (5, None, 4)], "block_id long, offset long, size long")
+    p = spark.createDataFrame([(at,) for at in (0, (1 << 40) - 1, 1 << 40, (1 << 40) + 2, (1 << 40) + 3, (1 << 40) + 70_002, (1 << 40) + 70_003, None, -1)], "at long")
+    assert sorted((r.at - (1 << 40), r.block_id) for r in metrics.find_blocks(b, p).collect()) == [(-(1 << 40), 1), (-1, 1), (0, 2), (2, 2), (3, 4), (70_002, 4)]
+
+
+def test_blocks(spark):
+    e = spark.createDataFrame([(1, bytes(range(256)) * 5), (2, b""), (3, None), (4, b"abc")], "entry_id long, content binary")
+    for a in codecs.ALGORITHMS:
+        made = blocks.compress_blocks(e, a, 100)
+        got = {r.entry_id: r for r in blocks.decompress_blocks(made, a).collect()}
+        assert bytes(got[1].content) == bytes(range(256)) * 5 and bytes(got[4].content) == b"abc" and set(got) == {1, 4}
+        assert made.where(F.col("stored_size") > blocks.size_bound(F.col("original_size"), a)).count() == 0
+    hurt = blocks.compress_blocks(e, "zstd", 100).withColumn("block", F.when((F.col("entry_id") == 1) & (F.col("ordinal") >= 3), F.lit(b"xx")).otherwise(F.col("block")))
+    assert {r.entry_id: (r.content is None, r.error) for r in blocks.decompress_blocks(hurt, "zstd").collect()} == {1: (True, "DecompressionError at block 3"), 4: (False, None)}
+    assert blocks.decompress_blocks(blocks.compress_blocks(e, "lz4", 100).where("ordinal <> 2"), "lz4").where("entry_id = 1").first().error == "MissingBlock"
+
+
+def test_block_store(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "block_id long, data binary")
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "block_id long")
+    s = blocks.BlockStore(spark, f"file://{tmp_path}/net", capacity=100)
+    assert s.write(rows((1, b"a" * 60), (257, b"b"))) is None
+    assert s.write(rows((2, b"c" * 60))) == blocks.CAPACITY_EXCEEDED
+    assert s.write(rows((1, b"d" * 90))) is None  # only the growth counts
+    assert tuple(s.statistics().first()) == (2, 91)
+    s.delete(ids(1, 5))
+    assert {r.block_id: (r.data and bytes(r.data), r.error) for r in s.read(ids(1, 257, 9)).collect()} == {1: (None, "NotFound"), 257: (b"b", None), 9: (None, "NotFound")}
+    assert bytes(s.read_one(257).first().data) == b"b"
+    gross = blocks.BlockStore(spark, f"file://{tmp_path}/gross", capacity=100, net_growth=False)
+    assert gross.write(rows((1, b"a" * 60))) is None
+    assert gross.write(rows((1, b"a" * 60))) == blocks.CAPACITY_EXCEEDED
+
+
+def test_journal_writer(spark):
+    J = journals
+    ops = [(1, J.END, None, None), (2, J.BEGIN, None, None), (3, J.BEGIN, None, None), (4, J.CREATE, 300, b"xy"), (5, J.DELETE, 7, None), (6, J.COMMIT, None, None), (7, J.COMMIT, None, None), (8, J.UPDATE, 1, b"12345"), (9, J.UPDATE, 1, b"z"), (10, J.ABORT, None, None)]
+    out = J.written(spark.createDataFrame(ops, "request long, type string, entry_id long, data binary"), full_bytes=10).orderBy("request", "seq").collect()
+    got = [(r.request, r.seq, r.type, bytes(r.data).hex(), r.error) for r in out]
+    assert got == [(1, None, J.END, "", "InvalidOperation"), (2, 0, J.BEGIN, "", None), (3, None, J.BEGIN, "", "InvalidOperation"), (4, 1, J.CREATE, "ac027879", None), (5, 2, J.DELETE, "07", None), (6, 3, J.END, "", None), (6, 4, J.COMMIT, "", None), (7, 5, J.COMMIT, "", None), (8, 6, J.UPDATE, "013132333435", None), (9, None, J.UPDATE, "017a", "JournalFull"), (10, 7, J.ABORT, "", None)]
+    b = spark.range(1).select(J.block_payload(F.lit(bytes(32)), F.lit(1).cast("long"), F.lit(128).cast("long"), F.lit(-1).cast("long")).alias("b")).first().b
+    assert bytes(b) == bytes(32) + b"\x01\x80\x01" + b"\xff" * 9 + b"\x01"
+    assert spark.range(1).select(codecs.unvarint(F.lit(b"\x80\x80")).alias("v"), codecs.unvarint(F.lit(b"\xff" * 11)).alias("w"), codecs.unvarint(F.lit(b"\x00\xac\x02"), 1)["value"].alias("x")).first() == (None, None, 300)
+
+
+def test_snapshot_events(spark, tmp_path):
+    c = snapshots.Catalog(spark, f"file://{tmp_path}/events")
+    a, b = spark.createDataFrame(V1, NODES), spark.createDataFrame(V2, NODES)
+    assert (c.create(a), c.create(b)) == (1, 2)
+    d = c.delta(1, 2)
+    assert not c.apply(2, d, 5) and c.apply(1, d, 5) and not c.register(5, a) and c.current() == 5
+    assert sorted(map(str, c.get(5).collect())) == sorted(map(str, c.get(2).collect()))
+    assert c.checkout(1) and not c.checkout(9) and c.create(a, "x") == 6 and c.count() == 4
+    assert [(r.snapshot_id, r.parent_id, r.label) for r in c.list().collect()][-2:] == [(5, 1, "reconstructed_snap_5"), (6, 1, "x")]
+    assert c.delete(6) and c.current() == 5
+
+
+def test_stored_index_agrees_with_a_scan(spark, tmp_path, corpus):
+    rules = text.Rules(stopwords=("and",), remove_punctuation=False).with_word("Systems")
+    index = search.write_index(corpus, f"file://{tmp_path}/index", rules=rules, buckets=4)
+    for query in ("distributed archive archive", "and systems", "", "btree nothing database"):
+        for options in ({}, {"require_all": True}, {"k1": 2.0, "b": 0.1, "limit": 1}, {"min_score": 0.4, "limit": None}):
+            assert sorted(map(tuple, search.search_index(spark, index, query, **options).collect())) == sorted(map(tuple, search.search(corpus, query, rules=rules, **options).collect()))
+    assert "and" not in rules.without_word("and").stopwords and rules.stopwords[-1] == "systems"
