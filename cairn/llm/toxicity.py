@@ -1,12 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text, one from toxic and one from
-ordinary documents. They share a stretch of ordinary prose; beyond it the toxic one
-holds the words by which toxic training texts differ from ordinary ones, and the
-ordinary one as many bytes of ordinary words. A text is read in windows of one word (long
-words in several that overlap); a window's signal is the length it compresses to with the ordinary
-dictionary less the length with the toxic one. How often each length difference occurs is
-turned into a probability by likelihood ratios and a logistic model, both fitted to
+zstandard's trainer makes dictionaries from labelled text: one of ordinary documents, read whole, that both sides
+share; one of toxic documents, of the words in them by which their windows differ from ordinary ones; and one of other ordinary words, of the
+same size. A text is read in windows of one word (long words in several that overlap); a window's signal is the length it
+compresses to with the ordinary pair of dictionaries less the length with the toxic pair. How often each length difference
+occurs is turned into a probability by likelihood ratios and a logistic model, and the length threshold that goes with the decision is calibrated; all three are fitted to
 measurements with dictionaries that have not seen the measured text.
 """
 
@@ -14,9 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +22,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import give_back, tidy
+from cairn.llm.common import give_back, stored, tidy
 
 #: Labelled rows that training may take to the driver: a bounded sample, chosen by hash.
 SAMPLE_ROWS = 12_000
+#: Bytes of text that training may take to the driver; labelled rows are taken, in the order of the hash, while they fit.
+SAMPLE_BYTES = 192 << 20
 THRESHOLD = 0.7
-PROSE_BYTES = 100_000
-WORD_BYTES = 64_000
+#: Sizes of what is shared, and at most of what is not.
+SHARED_BYTES, OWN_BYTES = 100_000, 64_000
+#: Bytes of one sample of ordinary text for the trainer, and of all of them; beyond it every k-th piece of all texts is taken.
+SAMPLE_CHUNK, SHARED_SAMPLE = 2000, 12_000_000
+FOLDS = 2
 REACH = 8  # length differences are limited to -8 .. 8
 WINDOW_CHARS = 32
 STEP_CHARS = 16  # windows of a long word overlap, so that no word's beginning is cut in each of them
@@ -93,11 +95,15 @@ class Windows(dict):
 def telling_words(texts: list[str], labels: list[int], least: float = 20.0) -> tuple[list[str], list[str]]:
     """Words of toxic texts that (or whose beginnings) are `least` times as frequent there, and the ordinary words, most frequent last."""
     n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    starts = (Counter(), Counter())
-    for text, y in zip(texts, labels, strict=True):
-        starts[y].update({w[:k] for w in {w.strip(_EDGES) for w in words(text)} for k in range(4, min(len(w), 12) + 1)})
+    beginnings = lambda t: {w[:k] for w in {w.strip(_EDGES) for w in words(t)} for k in range(4, min(len(w), 12) + 1)}
     floor = max(3, round(0.005 * n[1]))
-    telling = {s for s, c in starts[1].items() if c >= floor and c / n[1] >= least * (starts[0][s] + 1) / n[0]}
+    starts = Counter(s for t, y in zip(texts, labels, strict=True) if y for s in beginnings(t))
+    starts = {s: c for s, c in starts.items() if c >= floor}
+    usual: Counter = Counter()  # of ordinary texts, only what toxic ones have often enough
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            usual.update(beginnings(t) & starts.keys())
+    telling = {s for s, c in starts.items() if c / n[1] >= least * (usual[s] + 1) / n[0]}
     toxic, ordinary = Counter(), Counter()
     for text, y in zip(texts, labels, strict=True):
         for w in words(text):
@@ -143,42 +149,65 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _trained(samples: list[bytes], size: int, segment: int, window: int) -> bytes:
+    """A zstandard dictionary of at most `size` bytes; samples that are too few, or no larger, are their own dictionary."""
+    whole = b"".join(samples)
+    if len(whole) <= size or len(samples) < 10:
+        return whole[-size:]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=window).as_bytes()[-size:]
+    except zstandard.ZstdError:  # the trainer finds nothing that repeats
+        return whole[-size:]
+
+
+def _bytes(ws: Iterable[str]) -> bytes:
+    return f" {' '.join(ws)} ".encode("utf-8", "surrogatepass")
+
+
 def dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary of labelled texts."""
     toxic, ordinary = telling_words(texts, labels)
-    rng = random.Random(7)
-    clean = [t for t, y in zip(texts, labels, strict=True) if not y and t]
-    rng.shuffle(clean)
-    prose = b""
-    for t in clean:
-        if len(prose) >= PROSE_BYTES:
-            break
-        prose += t[:600].lower().encode("utf-8", "surrogatepass") + b"\n"
-    rng.shuffle(ordinary)
-    tail_of = lambda ws, size: (" " + " ".join(ws) + " ").encode("utf-8", "surrogatepass")[-size:]
-    telling = tail_of(toxic, WORD_BYTES)
-    return prose + telling + LEAD, prose + tail_of(ordinary, max(8, len(telling))) + LEAD
-
-
-def train(texts: list[str], labels: list[int]) -> Model:
+    pieces: list[bytes] = []
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            raw = _bytes(words(t))
+            pieces += [raw[i : i + SAMPLE_CHUNK] for i in range(0, len(raw), SAMPLE_CHUNK)]
+    telling = frozenset(toxic)
+    told = [[w for w in dict.fromkeys(x.strip(_EDGES) for x in words(t)) if w in telling] for t, y in zip(texts, labels, strict=True) if y]
+    size = max(256, min(OWN_BYTES, 3 * len(_bytes(toxic))))
+    own = _trained([_bytes(ws) for ws in told if ws], size, 48, 6)
+    ordinary.sort(key=lambda w: hashlib.md5(w.encode("utf-8", "surrogatepass")).digest())
+    shared = _trained(pieces[:: -(-len(pieces) * SAMPLE_CHUNK // SHARED_SAMPLE) or 1], SHARED_BYTES, 64, 8)
+    return shared + own + LEAD, shared + _bytes(ordinary)[-max(8, len(own)) :] + LEAD
+
+
+def _shift(scores: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """What to add to log odds so that the threshold of the best F1 of measured scores becomes `threshold`."""
+    order = np.argsort(-scores, kind="stable")
+    hits, told = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    best = int(np.argmax(2 * hits / (y.sum() + told)))
+    low = scores[order[best + 1]] if best + 1 < len(y) else 0.0
+    odds = lambda p: float(np.log(p / (1 - p)))
+    return odds(threshold) - odds(min(max((scores[order[best]] + low) / 2, 1e-4), 1 - 1e-4))
+
+
+def train(texts: list[str], labels: list[int], threshold: float = THRESHOLD) -> Model:
     """Fit a model to labelled texts (1 is toxic).
 
-    Each half of the rows is measured with dictionaries of the other half, and these
-    measurements calibrate the ratios and the logistic model; the model keeps the first half's
-    dictionaries, which are of the size that was calibrated. Rows are put in an order that depends on the texts only, so equal input gives an
+    Each of FOLDS parts of the rows is measured with dictionaries of the others, and these measurements calibrate the
+    ratios, the logistic model and the threshold; the model's own dictionaries are of all rows. Rows are put in an order that depends on the texts only, so equal input gives an
     equal model. Without rows of both labels every text gets the share of label 1 as its score.
     """
-    rows = sorted(zip(texts, labels, strict=True), key=lambda r: hashlib.md5((r[0] or "").encode("utf-8", "surrogatepass")).digest())
-    halves = [rows[0::2], rows[1::2]]
+    rows = sorted(zip(texts, labels, strict=True), key=lambda r: (hashlib.md5((r[0] or "").encode("utf-8", "surrogatepass")).digest(), r[1]))
     split = lambda part: ([t for t, _ in part], [v for _, v in part])
-    made = [dictionaries(*split(part)) for part in halves]
+    parts = [rows[k::FOLDS] for k in range(FOLDS)]
     measured = []
-    for part, own in zip(halves, reversed(made), strict=True):
-        windows = Windows(*own)
+    for k, part in enumerate(parts):
+        windows = Windows(*dictionaries(*split([r for j, other in enumerate(parts) if j != k for r in other])))
         measured += [windows.counts(t) for t, _ in part]
         windows.clear()
     counts = np.array(measured, float).reshape(-1, 2 * BINS)
-    y = np.array([v for part in halves for _, v in part], float)
+    y = np.array([v for part in parts for _, v in part], float)
     seen = [counts[y == v, BINS:].sum(0) + 0.5 for v in (0, 1)]
     ratios = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     x = _features(counts, ratios)
@@ -201,10 +230,11 @@ def train(texts: list[str], labels: list[int]) -> Model:
                 break
             free &= ~against
             w[against] = 0.0
+        w[0] += _shift(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), y, threshold)
     else:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         w[0] = np.log(share / (1 - share))
-    return Model(*made[0], ratios, mean, spread, w)
+    return Model(*dictionaries(*split(rows)), ratios, mean, spread, w)
 
 
 def held_out(id_col: str) -> Column:
@@ -212,11 +242,23 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[list[str], list[int]]:
-    """At most `sample_rows` labelled texts outside the held-out third, chosen by a hash of the id."""
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """At most `sample_rows` labelled texts outside the held-out third, of `sample_bytes` in all, chosen by a hash of the id."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    rows = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max("_y").alias("y"), F.min(text_col).alias("t")).collect()
+    found = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max("_y").alias("y"), F.min(text_col).alias("t"))
+    found = stored(found.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), "y", "t"), "toxicity-sample")
+    sizes = found.select("h", "i", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).orderBy("h", "i").collect()  # at most sample_rows
+    fits, total = 0, 0
+    for r in sizes:
+        total += r["n"]
+        if total > sample_bytes:
+            break
+        fits += 1
+    if fits < len(sizes):
+        last = sizes[fits]
+        found = found.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("i") < last["i"])))
+    rows = found.select("y", "t").collect()
     return [r["t"] or "" for r in rows], [r["y"] for r in rows]
 
 
@@ -237,7 +279,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Empty tables work. Very long texts and words are read whole.
     """
     spark = df.sparkSession
-    model = train(*training_rows(df, labels, id_col, text_col, label_col, sample_rows))
+    model = train(*training_rows(df, labels, id_col, text_col, label_col, sample_rows), threshold)
     give_back()
     raw = pickle.dumps(model)
     mark = hashlib.sha256(raw).hexdigest()
