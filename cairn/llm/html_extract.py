@@ -14,7 +14,6 @@ import html
 import math
 import re
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -197,7 +196,9 @@ def neighbours(blocks: list[Block]) -> Iterator[tuple[int, int, int]]:
 def min_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
     """For every node whether it is on the source's side of a minimum cut (the smallest such side).
 
-    Augmenting paths are shortest ones, found breadth first from all nodes with excess.
+    Max-flow in phases: a breadth-first search from all nodes with excess gives every node its distance, then flow is
+    pushed along edges that lead one step further until no such path is left. Distances grow from phase to phase, and a capacity along a page of
+    blocks is used up within a few of them, so time grows about in proportion to the page, not with paths times nodes.
     """
     n = len(terminals)
     rest = [a - b for a, b in terminals]  # min(a, b) flows straight through
@@ -210,35 +211,53 @@ def min_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]])
         to += [j, i]
         room += [c, c]
     while True:
-        via = [-2] * n
-        queue = deque(i for i in range(n) if rest[i] > 0)
+        level = [-1] * n
+        queue = [i for i in range(n) if rest[i] > 0]
         for i in queue:
-            via[i] = -1
-        goal = -1
-        while queue:
-            i = queue.popleft()
+            level[i] = 0
+        short = False
+        for i in queue:  # grows while it is read
+            short = short or rest[i] < 0
             for e in out[i]:
                 j = to[e]
-                if room[e] > 0 and via[j] == -2:
-                    via[j] = e
-                    if rest[j] < 0:
-                        goal = j
-                        break
+                if room[e] > 0 and level[j] < 0:
+                    level[j] = level[i] + 1
                     queue.append(j)
-            if goal >= 0:
-                break
-        if goal < 0:
-            return [v != -2 for v in via]
-        path, j = [], goal
-        while via[j] >= 0:
-            path.append(via[j])
-            j = to[via[j] ^ 1]
-        flow = min(rest[j], -rest[goal], *(room[e] for e in path))
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
-        rest[j] -= flow
-        rest[goal] += flow
+        if not short:
+            return [v >= 0 for v in level]
+        tried = [0] * n  # edges of a node before this one lead nowhere in this phase
+        for source in queue:
+            if rest[source] <= 0 or level[source]:
+                continue
+            path: list[int] = []
+            i = source
+            while rest[source] > 0:
+                if rest[i] < 0:
+                    flow = min(rest[source], -rest[i], *(room[e] for e in path))
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    rest[source] -= flow
+                    rest[i] += flow
+                    full = next((k for k, e in enumerate(path) if not room[e]), len(path))
+                    if full < len(path):  # go on from before the first edge that is used up
+                        i = to[path[full] ^ 1]
+                        del path[full:]
+                        continue
+                    if rest[i] < 0:  # the source is empty
+                        break
+                while tried[i] < len(out[i]):
+                    e = out[i][tried[i]]
+                    if room[e] > 0 and level[to[e]] == level[i] + 1:
+                        path.append(e)
+                        i = to[e]
+                        break
+                    tried[i] += 1
+                else:
+                    if not path:
+                        break
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
 
 
 def extract(page: str | None) -> str:
