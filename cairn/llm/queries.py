@@ -64,7 +64,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    out = sharding.shard(docs, sharding.text_key("text", "doc_id"), size)
+    out = sharding.shard(docs, sharding.text_key("text", "doc_id"), size, ties=["doc_id"])
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

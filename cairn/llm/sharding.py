@@ -82,15 +82,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def shard(df: DataFrame, key: Column, size: Column, shards: int = 24, tolerance: float = 0.002, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def shard(df: DataFrame, key: Column, size: Column, shards: int = 24, tolerance: float = 0.002, range_bytes: int = RANGE_BYTES, ties: list[str] | None = None) -> DataFrame:
     """Put every row into one of `shards` shards of nearly equal total size.
 
     Adds `size`, `shard` (0 to shards - 1) and `slot` (0, 1, ... within the shard, in key order);
     columns of that name, and `_key`, are replaced. `key` is a bigint expression without nulls,
     `size` a positive bigint expression. A shard is off its equal share by at most about
-    `tolerance` of it, or by the rows of one key, or one row. Ties in the key are slotted in
-    no particular order. Repeated rows are rows of their own; an empty table gives an empty one.
+    `tolerance` of it, or by the rows of one key, or one row. Ties in the key are slotted in the
+    order of the columns `ties`; without them, or where they are equal too, in no particular order. Repeated rows are rows of their own; an empty table gives an empty one.
     """
+    ties = ties or []
     own = [c for c in df.columns if c.lower() not in {"size", "shard", "slot", "_key", "_range"}]
     keyed = df.select(*own, key.alias("_key"), size.cast("long").alias("size"))
     keys = stored(keyed.select(F.col("_key").alias("key"), "size"), "shard-keys")
@@ -116,15 +117,15 @@ def shard(df: DataFrame, key: Column, size: Column, shards: int = 24, tolerance:
         at[s] = at.get(s, 0) + counts.get(r, 0)
     of = lambda i: F.element_at(_longs([x[i] for x in starts]), F.col("_range") + 1)
     moved = keyed.withColumn("_range", in_range)
-    moved = moved.repartition(max(1, len(starts)), "_range").sortWithinPartitions("_range", "_key")
-    number = F.row_number().over(_window())
+    moved = moved.repartitionById(max(1, len(starts)), F.col("_range")).sortWithinPartitions("_range", "_key", *ties)
+    number = F.row_number().over(_window(ties))
     return moved.select(*own, "size", of(0).cast("int").alias("shard"), (of(1).cast("long") + number - 1).alias("slot"))
 
 
-def _window():
+def _window(ties: list[str]):
     from pyspark.sql import Window
 
-    return Window.partitionBy("_range").orderBy("_key")
+    return Window.partitionBy("_range").orderBy("_key", *ties)
 
 
 def _longs(values: list[int]) -> Column:
