@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from cairn.llm import bpe, html_extract, media, ngram_join, packing, pii, sharding, topk, toxicity, url_filter
 from cairn.llm.common import spread, table
 
-#: Hosts whose pages make up the block list of the url filter query.
-LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+#: The block list of the url filter query: hosts with all their page numbers in four languages, 1.2 million URLs, made without a look at the pages.
+LISTED_HOSTS = tuple(m + h for h in ("spam-farm.example.org", "spam-farm.example.com", "cheap-pills.example.com", "free-bets.example.com", "casino-win.example.com") for m in ("", "m."))
+LISTED_LANGUAGES, LISTED_NUMBERS = ("en", "de", "fr", "es"), 10_000
 
 
 def tokenizer_path() -> str:
@@ -26,7 +27,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, url_filter.listed_urls(pages, LISTED_HOSTS)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages, url_filter.enumerated_urls(spark, LISTED_HOSTS, LISTED_LANGUAGES, LISTED_NUMBERS)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,6 @@ b AS (SELECT page_id, rest, coalesce(translate(regexp_extract(rest, '^([^/?#]*)'
 c AS (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z_]+|ref|fbclid|gclid)(=|$)'))), '&') AS kept FROM b),
 d AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN
              regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN coalesce(kept, '') <> '' THEN '?' || kept ELSE '' END END AS canonical FROM c),
-listed AS (SELECT DISTINCT canonical FROM d WHERE host IN ('spam-farm.example.org', 'cheap-pills.example.com') OR host LIKE '%.spam-farm.example.org' OR host LIKE '%.cheap-pills.example.com'),
 r AS (SELECT *, CASE
         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
@@ -98,7 +98,7 @@ r AS (SELECT *, CASE
         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM d)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+       WHEN regexp_matches(canonical, '^(m\.)?(spam-farm\.example\.(org|com)|(cheap-pills|free-bets|casino-win)\.example\.com)/(en|de|fr|es)/(0|[1-9][0-9]{0,3})(\.html|\?page=2)?$') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 

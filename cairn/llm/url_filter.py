@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,29 +83,36 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, bits_per_url:
 
     `listed` has a column `canonical` (see `with_canonical`); repeated and null rows in it do no
     harm. A fitting rule decides; otherwise a listed URL is blocked and any other allowed.
-    `listed` is null where a rule decided. Columns of `pages` with a name that is added here are
-    replaced. Null urls, and urls without `://`, have empty host and path and are allowed.
-    Repeated rows are judged alike; empty tables (either one) work.
+    `listed` is null where a rule decided. Columns of `pages` with one of the five names that are added are
+    replaced, all others kept, whatever their names. Null urls, and urls without `://`, have empty host and path and are allowed.
+    Repeated rows are judged alike; empty tables (either one) and very long urls work.
+
+    The test is a column of one pass; rows that a rule decides or that fail it are returned from there, the possible hits
+    alone are shuffled, to one outer join with the list.
     """
-    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "listed", "canonical", "rule_verdict", "block", "w0", "w1", "w2", "w3"}]
-    judged = with_rule(with_canonical(split_url(pages.select(*own))), rules)
-    out = [*own, "host", "path", "rule"]
-    by_rule = judged.where(F.col("rule").isNotNull()).select(*out, F.col("rule_verdict").alias("verdict"), F.lit(None).cast("boolean").alias("listed"))
-    rest = judged.where(F.col("rule").isNull())
+    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "listed"}]
+    packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("url"))
+    judged = with_rule(with_canonical(split_url(packed)), rules)
     urls = listed.select("canonical").where(F.col("canonical").isNotNull())
     blocks = max(1, -(-urls.count() * bits_per_url // 256))
     bloom = blocked_bloom(urls, blocks)
-    probed = rest.withColumn("block", _block("canonical", blocks)).join(F.broadcast(bloom) if blocks <= broadcast_blocks else bloom, "block", "left")
+    asked = F.when(F.col("rule").isNull(), F.col("canonical"))
+    probed = judged.withColumn("canonical", asked).withColumn("block", _block("canonical", blocks)).join(F.broadcast(bloom) if blocks <= broadcast_blocks else bloom, "block", "left")
     tests = [F.col(f"w{j}").bitwiseAND(m) == m for j, m in enumerate(_lanes("canonical"))]
     probed = probed.withColumn("possible", F.coalesce(reduce(Column.__and__, tests), F.lit(False)) & F.col("canonical").isNotNull())
-    possible = probed.where("possible").select(*out, "canonical")
-    hits = possible.join(urls.hint("shuffle_hash"), "canonical", "left_semi")
-    false_hits = possible.join(urls.hint("shuffle_hash"), "canonical", "left_anti")
-    say = lambda df, verdict, found: df.select(*out, F.lit(verdict).alias("verdict"), F.lit(found).alias("listed"))
-    return by_rule.unionByName(say(probed.where("not possible"), "allow", False)).unionByName(say(hits, "block", True)).unionByName(say(false_hits, "allow", False))
-
-
-def listed_urls(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
-    """A block list made of the canonical URLs seen on given hosts and their subdomains."""
-    fits = reduce(Column.__or__, [(F.col("host") == h) | F.col("host").endswith("." + h) for h in hosts], F.lit(False))
-    return with_canonical(split_url(pages.select("url"))).where(fits).select("canonical").distinct()
+    out = lambda verdict, found: ["row.*", "host", "path", "rule", verdict.alias("verdict"), found.alias("listed")]
+    decided = probed.where("not possible").select(*out(F.coalesce("rule_verdict", F.lit("allow")), F.when(F.col("rule").isNull(), False)))
+    exact = urls.distinct().withColumn("hit", F.lit(True)).hint("shuffle_hash")
+    found = F.coalesce("hit", F.lit(False))
+    checked = probed.where("possible").select("row", "host", "path", "rule", "canonical").join(exact, "canonical", "left")
+    return decided.unionByName(checked.select(*out(F.when(found, "block").otherwise("allow"), found)))
+
+
+def enumerated_urls(spark: SparkSession, hosts: tuple[str, ...], languages: tuple[str, ...], numbers: int) -> DataFrame:
+    """A list (canonical) by rule, as a block-list feed has it: every page number of every language on each host, plain, as .html and as second page."""
+    forms = ("", ".html", "?page=2")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    i = F.col("id")
+    of = [F.floor(i / (numbers * len(languages) * len(forms))), F.pmod(F.floor(i / (numbers * len(forms))), F.lit(len(languages))), F.pmod(F.floor(i / len(forms)), F.lit(numbers)), F.pmod(i, F.lit(len(forms)))]
+    url = F.concat(pick(hosts, of[0]), F.lit("/"), pick(languages, of[1]), F.lit("/"), of[2].cast("string"), pick(forms, of[3]))
+    return spark.range(len(hosts) * len(languages) * numbers * len(forms)).select(url.alias("canonical"))

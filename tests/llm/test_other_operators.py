@@ -45,6 +45,20 @@ def test_listed_urls_and_nothing_else(spark, bits, broadcast):
     assert url_filter.filter_urls(df.where("false"), listed).count() == 0
 
 
+def test_other_columns_stay_whatever_their_names(spark):
+    long = "http://long.net/" + "x" * 200_000
+    rows = [(1, "http://a.net/1", "b", 7, "c", "d"), (1, "http://a.net/1", "b", 7, "c", "d"), (2, long, None, None, None, None), (3, None, "b", 1, "c", "d")]
+    df = spark.createDataFrame(rows, "page_id long, url string, block string, w0 int, canonical string, Verdict string")
+    got = url_filter.filter_urls(df, spark.createDataFrame([(long[7:],)], "canonical string")).collect()
+    assert sorted((r.page_id, r.block, r.w0, r.canonical, r.verdict) for r in got if r.page_id != 2) == [(1, "b", 7, "c", "allow")] * 2 + [(3, "b", 1, "c", "allow")]
+    assert [r.verdict for r in got if r.page_id == 2] == ["block"] and len(got) == 4
+
+
+def test_enumerated_list_is_all_of_it_once(spark):
+    urls = [r[0] for r in url_filter.enumerated_urls(spark, ("a.com", "b.org"), ("en", "de", "fr"), 11).collect()]
+    assert sorted(urls) == sorted(f"{h}/{lang}/{n}{form}" for h in ("a.com", "b.org") for lang in ("en", "de", "fr") for n in range(11) for form in ("", ".html", "?page=2"))
+
+
 def test_no_false_negatives_in_the_filter(spark):
     listed = spark.range(500).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
     rows = url_filter.blocked_bloom(listed, 7).collect()
