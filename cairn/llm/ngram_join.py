@@ -7,11 +7,13 @@ with its transpose holds the overlaps. It is never formed whole:
 * a row keeps only its first columns in a fixed order (very frequent shingles last, else by
   hash). For a Jaccard similarity of 3/4, rows with n shingles must meet, if at all, in
   the first n - ceil(3n/4) + 1 columns of the larger and n - ceil(6n/7) + 1 of the smaller;
-* the products of blocks of columns give pairs of rows, and pairs below the bounds that
-  follow from their sizes are discarded; very frequent columns are cut into blocks of rows,
+* the symbolic phase: products of blocks of columns, of those first columns alone, give the places of the product that can reach the
+  bound, and pairs whose sizes rule a link out are discarded; very frequent columns, of any number, are cut into blocks of rows,
   multiplied block by block, and leave out pairs that are already connected;
-* a parity sketch of each row bounds the overlap of a pair from above and discards most of
-  the rest; what remains is decided by exact overlap counts of whole rows.
+* a parity sketch of each row bounds the overlap of a pair from above and discards most of the rest;
+* the numeric phase: at the places left the overlaps are accumulated over blocks of columns of the whole
+  incidence matrix, and after each block pairs are discarded that can no longer reach the bound of their sizes. The count that
+  is left at the end is the overlap, and decides.
 
 Links are joined to components with the least id of each as its name.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import stored, tidy
@@ -33,10 +35,13 @@ from cairn.llm.components import components
 SHINGLE_WORDS = 5
 #: Shingles that are found at least so often by tasks count as very frequent and come last.
 HOT_COUNT = 32
-#: Very frequent shingles that are told apart (the most frequent ones; 4 MB broadcast).
+#: Very frequent shingles that the order of columns tells apart, the most frequent ones (4 MB broadcast). Columns beyond them that have many rows all the same are found
+#: where they are multiplied and cut into blocks like these, so this bounds what is broadcast and nothing else.
 HOT_SHINGLES = 500_000
-#: Rows of one block of a very frequent column.
+#: Rows of one block of a very frequent column, and of a component in it that has blocks of its own.
 BLOCK_ROWS = 512
+#: Blocks of columns that overlaps are accumulated over, a power of two, and shingles of pairs that are taken at once.
+COLUMN_BLOCKS, PRODUCT_CELLS = 4, 400_000
 #: Ids that may be broadcast to pick out texts (16 MB); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -169,11 +174,13 @@ def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _column_products(postings: DataFrame) -> DataFrame:
-    """Pairs (h null, a smaller than b by size, then id) that meet in an ordinary column and pass the size bound.
+    """Pairs (h null, a smaller than b by size, then id) that meet in a column of few rows and pass the size bound.
 
     Rows that have the same first column give their pair there and in no other column. Postings of
-    very frequent columns pass through, as (h, id, n, smaller, weight), dealt out by salted keys.
+    very frequent columns pass through, as (h, id, n, smaller, weight), dealt out by salted keys; so do those of other columns of more than
+    BLOCK_ROWS rows, so that no task multiplies more than a block.
     """
+    most = BLOCK_ROWS
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
     names = ["h", "a", "b", "smaller", "weight"]
 
@@ -199,7 +206,10 @@ def _column_products(postings: DataFrame) -> DataFrame:
         order = np.lexsort((i, n, h))
         h, i, n, smaller, first = h[order], i[order], n[order].astype(np.int64), smaller[order], first[order]
         end = np.searchsorted(h, h, side="right")
-        live = np.flatnonzero(smaller & (end - np.arange(len(h)) > 1))
+        large = end - np.searchsorted(h, h) > most
+        for at in np.array_split(np.flatnonzero(large), int(large.sum()) // 100_000 + 1) if large.any() else ():
+            yield _batch(names, [h[at], i[at], n[at], smaller[at], np.zeros(len(at), np.int32)], types)
+        live = np.flatnonzero(smaller & ~large & (end - np.arange(len(h)) > 1))
         out_a, out_b, size, step = [], [], 0, 1
         while len(live):  # the step-th partner of every row that still has one
             live = live[100 * n[live] >= 75 * n[live + step]]
@@ -219,16 +229,32 @@ def _column_products(postings: DataFrame) -> DataFrame:
     return postings.withColumn("salt", salt).repartition("h", "salt").select("h", "id", "n", "smaller", "weight", "first").mapInArrow(tidy(run), "h long, a long, b long, smaller boolean, weight int")
 
 
+def _few(df: DataFrame, bound: int) -> DataFrame:
+    """The table, to be broadcast if it has no more rows than the bound."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def _block_products(rows: DataFrame) -> DataFrame:
     """Pairs of rows of very frequent columns that are in different components and pass size and sketch bounds.
 
     `rows`: (h, id, n, smaller, component, sketch). A column's rows are dealt out to blocks, and
-    each pair of its blocks is a task's unit of work. Columns that lie in one component are left out.
+    each pair of its blocks is a task's unit of work. A component with BLOCK_ROWS rows or more in a column has blocks of its own there, which are
+    not multiplied with each other; the rest share blocks. Columns that lie in one component are left out.
     """
-    per_column = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    sized = rows.join(F.broadcast(per_column.select("h", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))), "h")  # at most HOT_SHINGLES rows
-    own = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = stored(rows.groupBy("h", "component").agg(F.count("*").alias("rows")), "ngram-column-parts")
+    own = parts.where(F.col("rows") >= BLOCK_ROWS).withColumn("own", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("h").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")  # a row for each BLOCK_ROWS rows at most
+    own = own.withColumn("skip", before)
+    shared = F.sum(F.when(F.col("rows") < BLOCK_ROWS, F.col("rows")))
+    columns = parts.groupBy("h").agg(F.count("*").alias("parts"), F.coalesce(F.ceil(shared / BLOCK_ROWS), F.lit(0)).cast("int").alias("shared")).where("parts > 1").drop("parts")
+    columns = stored(columns.join(own.groupBy("h").agg(F.sum("own").cast("int").alias("owned")), "h", "left").select("h", "shared", (F.col("shared") + F.coalesce("owned", F.lit(0))).alias("blocks")), "ngram-columns")
+    own = stored(own.select("h", "component", "own", "skip"), "ngram-own-blocks")
+    sized = rows.join(_few(columns, HOT_SHINGLES), "h").join(_few(own, HOT_SHINGLES), ["h", "component"], "left")
+    spot = F.xxhash64("id")
+    block = F.when(F.col("own").isNotNull(), F.col("shared") + F.col("skip") + F.pmod(spot, F.col("own"))).otherwise(F.pmod(spot, F.greatest("shared", F.lit(1)))).cast("int")
+    first = F.col("shared") + F.col("skip")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("own").isNull() | (j < first) | (j >= first + F.col("own")))
+    cells = sized.withColumn("block", block).withColumn("other", F.explode(others))
     cells = cells.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", F.col("n").cast("long").alias("n"), "smaller", "component", "sketch")
     cells = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
@@ -316,8 +342,55 @@ def _filtered(pairs: DataFrame, test) -> DataFrame:
     return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
-def _are_linked(a: bytes, n: int, b: bytes, m: int) -> bool:
-    return linked(len(np.intersect1d(np.frombuffer(a, _U), np.frombuffer(b, _U), assume_unique=True)), n, m)
+def linked_places(left: list[np.ndarray], right: list[np.ndarray], blocks: int = COLUMN_BLOCKS) -> np.ndarray:
+    """For each place (a row of `left`, a row of `right`, both sorted) of the product whether its value links the two.
+
+    The value is accumulated over blocks of columns, ranges of the hash; after each of them places are discarded whose value, with all that
+    is left of the smaller rest, stays below the least overlap of their sizes.
+    """
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    need = least_overlap(n, m)
+    edges = (np.arange(1, blocks, dtype=object) * ((1 << 64) // blocks)).astype(_U)
+    cuts = [np.array([[0, *np.searchsorted(s, edges), len(s)] for s in side], np.int64).reshape(-1, blocks + 1) for side in (left, right)]
+    value = np.zeros(len(left), np.int64)
+    live = np.flatnonzero((n > 0) & (m > 0) & (np.minimum(n, m) >= need))
+    for k in range(blocks):
+        if not len(live):
+            break
+        parts = [side[p][cut[p, k] : cut[p, k + 1]] for side, cut in zip((left, right), cuts, strict=True) for p in live]
+        place = np.repeat(np.concatenate([np.arange(len(live))] * 2), [len(x) for x in parts])
+        column = np.concatenate(parts)
+        order = np.lexsort((column, place))
+        column, place = column[order], place[order]
+        both = (column[1:] == column[:-1]) & (place[1:] == place[:-1])
+        value[live] += np.bincount(place[1:][both], minlength=len(live))
+        rest = np.minimum(n[live] - cuts[0][live, k + 1], m[live] - cuts[1][live, k + 1])
+        live = live[value[live] + rest >= need[live]]
+    out = np.zeros(len(left), bool)
+    out[live] = value[live] >= need[live]
+    return out
+
+
+def _numeric(pairs: DataFrame) -> DataFrame:
+    """The (s_a, s_b) pairs that link, by `linked_places` over some pairs at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [batch.column(batch.schema.get_field_index(c)) for c in ("s_a", "s_b")]
+            size = 0
+            keep: list[np.ndarray] = []
+            left: list[np.ndarray] = []
+            right: list[np.ndarray] = []
+            for i in range(batch.num_rows):
+                for held, column in zip((left, right), rows, strict=True):
+                    held.append(np.frombuffer(column[i].as_buffer(), _U))
+                    size += len(held[-1])
+                if size > PRODUCT_CELLS or i + 1 == batch.num_rows:
+                    keep.append(linked_places(left, right))
+                    left, right, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(keep or [np.zeros(0, bool)])))
+
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_links(rows: DataFrame) -> DataFrame:
@@ -431,20 +504,20 @@ def _joined(df: DataFrame, id_col: str, text_col: str, count_links: bool) -> Dat
     hot_at = found_at.where("h is not null").select("h", F.col("a").alias("id"), F.col("b").cast("int").alias("n"), "smaller", "weight")
     # the hottest row of a very frequent column stands at its centre: first try a link with it
     centre = hot_at.groupBy("h").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("h", (-F.col("c.minus")).alias("b"))
-    rays = hot_at.join(F.broadcast(centre), "h").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    rays = hot_at.join(_few(centre, HOT_SHINGLES), "h").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     touched = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot_at.select("id")).distinct()
     rows = stored(_rows_of(_picked(classes, stored(touched, "ngram-touched"))), "ngram-rows")
     bounded = stored(_filtered(_beside(pairs.unionByName(rays).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, "sketch"), may_link), "ngram-bounded")
     # a first round decides one pair of each row, a second one what isn't connected by then
     tried = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_filtered(_beside(tried, rows, "whole"), _are_linked), "ngram-links")
+    links = stored(_numeric(_beside(tried, rows, "whole")), "ngram-links")
     parts = components(links)
     part_of = lambda pairs, c: pairs.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"p_{c}")), c, "left").withColumn(f"p_{c}", F.coalesce(f"p_{c}", c))
     open_pairs = part_of(part_of(bounded.join(tried, ["a", "b"], "left_anti"), "a"), "b").where("p_a <> p_b").select("a", "b")
     labelled = part_of(hot_at.withColumnRenamed("id", "a"), "a").select("h", F.col("a").alias("id"), "n", "smaller", F.col("p_a").alias("component"))
     across = _block_products(labelled.join(rows.select("id", "sketch"), "id"))
     more = open_pairs.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_filtered(_beside(more, rows, "whole"), _are_linked), "ngram-links"))
+    links = links.unionByName(stored(_numeric(_beside(more, rows, "whole")), "ngram-links"))
     parts = components(links)
     named = members.join(parts.select(F.col("id").alias("first"), "component"), "first", "left")
     out = [F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first").cast(df.schema[id_col].dataType).alias("component_id")]

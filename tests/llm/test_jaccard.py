@@ -142,3 +142,28 @@ def test_overlaps_over_blocks_of_columns():
     sets = [np.array(sorted(rng.sample(range(90), rng.randrange(1, 60))), np.uint64) for _ in range(12)]
     for columns in (7, 4096):
         assert J.overlaps(sets, columns).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+
+
+def test_accumulated_places_against_sets():
+    rng = random.Random(8)
+    wide = lambda k: rng.sample([rng.randrange(1 << 64) for _ in range(400)], k)
+    left, right = [], []
+    for _ in range(300):
+        base = wide(rng.randrange(1, 120))
+        other = [x for x in base if rng.random() > rng.choice([0, 0.1, 0.14, 0.2, 0.5])] + wide(rng.randrange(0, 9))
+        left.append(np.array(sorted(set(base)), np.uint64))
+        right.append(np.array(sorted(set(other)), np.uint64))
+    want = [bool(set(a.tolist()) & set(b.tolist())) and bool(J.linked(len(set(a.tolist()) & set(b.tolist())), len(a), len(b))) for a, b in zip(left, right, strict=True)]
+    assert 30 < sum(want) < 270
+    for blocks in (1, 4, 16):
+        assert J.linked_places(left, right, blocks).tolist() == want
+    assert J.linked_places([], [], 4).tolist() == []
+
+
+def test_one_outsider_costs_blocks_not_their_square(spark):
+    """A column whose rows are one component, but for one, gives cells of the outsider with each block only."""
+    ship(spark)
+    rows = [(7, i, 10, True, 0 if i < 4000 else 9000, bytes(8)) for i in range(4001)]
+    df = spark.createDataFrame(rows, "h long, id long, n int, smaller boolean, component long, sketch binary").repartition(4)
+    got = J._block_products(df).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in got} == {(i, 4000) for i in range(4000)} and len(got) == 4000
