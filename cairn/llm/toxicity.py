@@ -15,6 +15,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -92,29 +93,44 @@ class Windows(dict):
         return np.array([*every, *distinct])
 
 
-def telling_words(texts: list[str], labels: list[int], least: float = 20.0) -> tuple[list[str], list[str]]:
-    """Words of toxic texts that (or whose beginnings) are `least` times as frequent there, and the ordinary words, most frequent last."""
+def _stripped(text: str | None) -> set[str]:
+    return {w.strip(_EDGES) for w in words(text)}
+
+
+def telling_words(texts: list[str], labels: list[int], least: float = 20.0) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of toxic texts that begin with (or are) something `least` times as frequent there, and those beginnings, of 4 to 12 characters.
+
+    Beginnings are counted length by length, each only where the one before was frequent enough, so little is held at once.
+    """
+    toxic = [_stripped(t) for t, y in zip(texts, labels, strict=True) if y]
     n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    beginnings = lambda t: {w[:k] for w in {w.strip(_EDGES) for w in words(t)} for k in range(4, min(len(w), 12) + 1)}
     floor = max(3, round(0.005 * n[1]))
-    starts = Counter(s for t, y in zip(texts, labels, strict=True) if y for s in beginnings(t))
-    starts = {s: c for s, c in starts.items() if c >= floor}
+    starts: dict[str, int] = {}
+    for k in range(4, 13):
+        found = Counter(b for ws in toxic for b in {w[:k] for w in ws if len(w) >= k and (k == 4 or w[: k - 1] in starts)})
+        starts |= {b: c for b, c in found.items() if c >= floor}
     usual: Counter = Counter()  # of ordinary texts, only what toxic ones have often enough
     for t, y in zip(texts, labels, strict=True):
         if not y:
-            usual.update(beginnings(t) & starts.keys())
-    telling = {s for s, c in starts.items() if c / n[1] >= least * (usual[s] + 1) / n[0]}
-    toxic, ordinary = Counter(), Counter()
-    for text, y in zip(texts, labels, strict=True):
-        for w in words(text):
-            w = w.strip(_EDGES)
-            tells = any(w[:k] in telling for k in range(4, min(len(w), 12) + 1))
-            if y and tells:
-                toxic[w] += 1
-            elif not y and not tells:
-                ordinary[w] += 1
-    by_count = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))]
-    return by_count(toxic), by_count(ordinary)
+            usual.update({b for w in _stripped(t) for k in range(4, min(len(w), 12) + 1) if (b := w[:k]) in starts})
+    telling = frozenset(b for b, c in starts.items() if c / n[1] >= least * (usual[b] + 1) / n[0])
+    return frozenset(w for ws in toxic for w in ws if _tells(w, telling)), telling
+
+
+def _tells(word: str, telling: frozenset[str]) -> bool:
+    return any(word[:k] in telling for k in range(4, min(len(word), 12) + 1))
+
+
+def _other_words(texts: Iterable[str], telling: frozenset[str], size: int) -> bytes:
+    """`size` bytes of words that don't tell, of all texts, those of the greatest hashes; only a sixteenth of the words is held, if that is enough."""
+    at = lambda w: hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()
+    raw = b""
+    for least in (b"\xf0", b""):
+        chosen = {w for t in texts for w in _stripped(t) if at(w) >= least and not _tells(w, telling)}
+        raw = _bytes(sorted(chosen, key=at))
+        if len(raw) >= size:
+            break
+    return raw[-size:]
 
 
 def _features(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
@@ -166,19 +182,20 @@ def _bytes(ws: Iterable[str]) -> bytes:
 
 def dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary of labelled texts."""
-    toxic, ordinary = telling_words(texts, labels)
+    toxic, telling = telling_words(texts, labels)
+    clean = [t for t, y in zip(texts, labels, strict=True) if not y]
+    step = max(1, -(-sum(len(t or "") for t in clean) // SHARED_SAMPLE))
     pieces: list[bytes] = []
-    for t, y in zip(texts, labels, strict=True):
-        if not y:
-            raw = _bytes(words(t))
-            pieces += [raw[i : i + SAMPLE_CHUNK] for i in range(0, len(raw), SAMPLE_CHUNK)]
-    telling = frozenset(toxic)
-    told = [[w for w in dict.fromkeys(x.strip(_EDGES) for x in words(t)) if w in telling] for t, y in zip(texts, labels, strict=True) if y]
+    count = 0
+    for t in clean:
+        raw = _bytes(words(t))
+        pieces += [raw[i : i + SAMPLE_CHUNK] for k, i in enumerate(range(0, len(raw), SAMPLE_CHUNK), count) if k % step == 0]
+        count += -(-len(raw) // SAMPLE_CHUNK)
+    told = [[w for w in dict.fromkeys(x.strip(_EDGES) for x in words(t)) if w in toxic] for t, y in zip(texts, labels, strict=True) if y]
     size = max(256, min(OWN_BYTES, 3 * len(_bytes(toxic))))
     own = _trained([_bytes(ws) for ws in told if ws], size, 48, 6)
-    ordinary.sort(key=lambda w: hashlib.md5(w.encode("utf-8", "surrogatepass")).digest())
-    shared = _trained(pieces[:: -(-len(pieces) * SAMPLE_CHUNK // SHARED_SAMPLE) or 1], SHARED_BYTES, 64, 8)
-    return shared + own + LEAD, shared + _bytes(ordinary)[-max(8, len(own)) :] + LEAD
+    shared = _trained(pieces, SHARED_BYTES, 64, 8)
+    return shared + own + LEAD, shared + _other_words(clean, telling, max(8, len(own))) + LEAD
 
 
 def _shift(scores: np.ndarray, y: np.ndarray, threshold: float) -> float:
