@@ -199,13 +199,16 @@ def dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
 
 
 def _shift(scores: np.ndarray, y: np.ndarray, threshold: float) -> float:
-    """What to add to log odds so that the threshold of the best F1 of measured scores becomes `threshold`."""
+    """What to add to log odds so that the threshold of the best F1 of measured scores becomes `threshold`.
+
+    That threshold counts as 1/2 if it is lower: few labels can't show that less than even odds should reject a text.
+    """
     order = np.argsort(-scores, kind="stable")
     hits, told = np.cumsum(y[order]), np.arange(1, len(y) + 1)
     best = int(np.argmax(2 * hits / (y.sum() + told)))
     low = scores[order[best + 1]] if best + 1 < len(y) else 0.0
     odds = lambda p: float(np.log(p / (1 - p)))
-    return odds(threshold) - odds(min(max((scores[order[best]] + low) / 2, 1e-4), 1 - 1e-4))
+    return odds(threshold) - odds(min(max((scores[order[best]] + low) / 2, 0.5), 1 - 1e-4))
 
 
 def train(texts: list[str], labels: list[int], threshold: float = THRESHOLD) -> Model:
