@@ -34,6 +34,16 @@ def test_random_texts(text):
     assert packing.encoder(PATH).encode(text, allowed_special="all") == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_cut_by_the_librarys_character_tables():
+    rng = random.Random(3)
+    common = [*map(chr, range(32, 127)), *"’“”—…日本ãé€\u2003\u00b2"]
+    texts = ["".join(chr(rng.randrange(0x378, 0xD800)) if rng.random() < 0.3 else rng.choice(common) for _ in range(40)) for _ in range(1500)]
+    texts += [f"'{chr(c)}a .{chr(c)} 1{chr(c)}1" for c in (0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0xA7CB, 0x1E5D0, 0x10D40, 0x11BF0, 0x1CCF0)]
+    for s, e in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert "".join(bpe.split_words(s)) == s
+        assert bpe.automaton(PATH).encode_text(s) == e.ids == packing.encoder(PATH).encode_ordinary(s)
+
+
 def test_merges_that_never_fire_are_dead():
     m = bpe.MergeAutomaton([b"a", b"b", b"c", b"ab", b"bc", b"abc"], [-1] * 6, [-1] * 6, [-1, -1, -1, -2, -2, -2], {})
     for k, (u, v, w) in enumerate([(0, 1, 3), (1, 2, 4), (0, 4, 5)]):
