@@ -63,6 +63,51 @@ def test_source_and_sink(spark, tmp_path):
     assert listed.where("content is null and intact is null").count() == 4
 
 
+def test_sealed_archives(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "entry_id long, path string, content binary").repartition(2, "entry_id")
+    key = bytes(range(32))
+    for codec in ("lz4", "zstd"):
+        folder = f"file://{tmp_path}/{codec}"
+        A.write_archives(df, folder, codec, key=key)
+        back = A.read_archives(spark, f"{folder}/*.arc", key=key).collect()
+        assert sorted((r.entry_id, r.path, bytes(r.content), r.intact, r.error) for r in back) == sorted((*r, True, None) for r in ROWS)
+        assert {(r.content, r.intact, r.error) for r in A.read_archives(spark, f"{folder}/*.arc").collect()} == {(None, False, "KeyNotSet")}
+        wrong = A.read_archives(spark, f"{folder}/*.arc", key=bytes(32)).collect()
+        assert {(r.intact, r.error) for r in wrong if r.stored_size} == {(False, "DecryptionFailed")}
+        raw = (tmp_path / codec / "part-00000.arc").read_bytes() + (tmp_path / codec / "part-00001.arc").read_bytes()
+        assert b"x" * 10 not in raw
+    for p in (tmp_path / "lz4").glob("*.arc"):
+        assert A.read_header(p.read_bytes())["flags"] == A.SEALED
+
+
+def test_one_damaged_section_is_a_warning():
+    good = A.build(ROWS, "zlib")
+    head = A.read_header(good)
+
+    def broken(section):
+        data = bytearray(good)
+        start = head[f"{section}_offset"]
+        data[start : start + head[f"{section}_size"]] = b"\xff" * head[f"{section}_size"]
+        return bytes(data)
+
+    assert A.valid(good) and A.valid(broken("chunk"), quick=True) and not A.valid(broken("chunk")) and not A.valid(good[:90], quick=True)
+    rows = list(A.parse(broken("directory")))
+    assert [r[0] for r in rows] == [1, 2, 3, 4] and all(r[1] is None and r[6] and r[8].startswith("directory") for r in rows)
+    rows = list(A.parse(broken("chunk")))
+    assert [(r[1], r[5]) for r in rows] == [(p, c) for _, p, c in ROWS] and rows[0][8] == "chunk: section ends too early"
+    rows = list(A.parse(broken("index")))
+    assert {(1, "/a/b.txt", "MissingIndex"), (3, "/e", "MissingIndex")} <= {(r[0], r[1], r[7]) for r in rows} and not any(r[6] for r in rows)
+
+
+def test_chunk_tables():
+    rows = [(bytes([i]) * 32, i * 1000, 7, 300 * i, i % 4, i % 2 == 1) for i in range(9)]
+    raw = A.write_chunks(rows)
+    assert A.read_chunks(raw) == rows and A.read_chunks(A.write_chunks([])) == []
+    for bad in (raw[:-1], A.varint(1 << 21) + raw, b""):
+        with pytest.raises(A.FormatError):
+            A.read_chunks(bad)
+
+
 def test_command_line(spark, tmp_path, capfd):
     from cairn.__main__ import main
 
