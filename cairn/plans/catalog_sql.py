@@ -192,8 +192,8 @@ SQL = {
         UNION ALL SELECT 10, 1, 'reconstructed_snap_10', true, count(*), CAST(sum(size) AS BIGINT) FROM g UNION ALL SELECT 11, 1, 'again', false, count(*), CAST(sum(size) AS BIGINT) FROM b)""",
     "scalar_encodings": """SELECT event_id, lower(hex(event_type[3:5] || '-' || event_type)) AS joined, CASE WHEN event_id * 1000000007::HUGEINT * 9000000000::HUGEINT <= 9223372036854775807 THEN CAST(event_id * 1000000007::HUGEINT * 9000000000::HUGEINT AS BIGINT) END AS size,
         epoch_us(ts) // 1000000 AS seconds, epoch_us(ts) % 1000000 * 1000 AS nanos, true AS same, user_id % 3 < 1 OR (user_id % 3 = 1 AND event_id < 500) AS before FROM events""",
-    "compress_roundtrip": "SELECT doc_id AS entry_id, true AS none, true AS lz4, true AS zlib, true AS zstd FROM documents",
-    "aes_roundtrip": "SELECT doc_id AS entry_id, true AS same, CAST(28 AS BIGINT) AS overhead, true AS iv_first, true AS wrong_key_fails FROM documents",
+    "compress_roundtrip": f"WITH {_E} SELECT entry_id, sha256 AS none, sha256 AS lz4, sha256 AS zlib, sha256 AS zstd FROM e",
+    "aes_roundtrip": f"WITH {_E} SELECT entry_id, sha256 AS opened_sha256, original_size + 28 AS sealed_size, sha256(path)[1:24] AS iv, CAST(NULL AS VARCHAR) AS wrong_key_sha256 FROM e",
 }
 
 _D = f"""{SQL['fragmentation_total'].replace('SELECT *, round', 'SELECT round').replace('WITH ', '', 1)}"""
