@@ -13,7 +13,9 @@ from cairn.plans.inputs import spread
 from cairn.session import shared_folder as scratch
 from cairn.session import ship
 
-__all__ = ["give_back", "scratch", "spread", "stored", "table", "tidy"]
+__all__ = ["give_back", "scratch", "spread", "stored", "table", "tidy", "worker_cache"]
+
+_caches: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +40,19 @@ def give_back() -> None:
         pass
 
 
+def worker_cache(module: str) -> dict:
+    """What a module keeps in a worker from task to task; dropped when a task of another module begins there."""
+    return _caches.setdefault(module, {})
+
+
+def _drop_others(module: str) -> None:
+    for owner, cache in _caches.items():
+        if owner != module:
+            cache.clear()
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """Make a worker's function give freed memory back to the system when its task ends.
+    """Make a worker's function drop what other operators' tasks kept, and give freed memory back to the system when its task ends.
 
     Workers live on from task to task, and beside the executor's heap there is little room for what
     allocators would keep.
@@ -47,6 +60,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        _drop_others(run.__module__)
         try:
             yield from run(batches)
         finally:

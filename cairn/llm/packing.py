@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairn.llm.bpe import SPLIT, byte_alphabet
-from cairn.llm.common import tidy
+from cairn.llm.common import tidy, worker_cache
 
 Piece = tuple  # (doc, start, ids as little-endian uint32 bytes, doc_tokens)
 
@@ -132,11 +132,11 @@ class LevelPacker:
             self._close(window)
 
 
-_encoders: dict[str, tiktoken.Encoding] = {}
+_encoders: dict[str, tiktoken.Encoding] = worker_cache(__name__)
 
 
 def encoder(path: str) -> tiktoken.Encoding:
-    """A fast encoder of a byte-level BPE tokenizer file, once for each Python process."""
+    """A fast encoder of a byte-level BPE tokenizer file, once for each Python process that goes on packing."""
     if path not in _encoders:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

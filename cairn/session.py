@@ -11,6 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python. Spark's 64 MB are held several times over beside the heap (a vector that grows, the message, the result)
+#: and again in the worker, for each core. Sessions that set a size of their own keep it.
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 _shipped: set[str] = set()
 _own_folder: str | None = None
 
@@ -18,12 +22,14 @@ _own_folder: str | None = None
 def session(app: str = "cairn", **settings: str) -> SparkSession:
     """A session with the settings the operators are written for; further settings may follow."""
     builder = SparkSession.builder.appName(app)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.ui.showConsoleProgress": "false"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.ui.showConsoleProgress": "false", BATCH_BYTES_KEY: BATCH_BYTES}
     return builder.config(map=base | settings).getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package's code to the executors' Python workers, once for each application."""
+    """Give this package's code to the executors' Python workers, once for each application, and bound the batches they get."""
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -3,11 +3,14 @@
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from cairn.llm import ngram_join, pii
+from cairn.llm import ngram_join, packing, pii
+from cairn.llm.common import table, tidy
 from tests.comparing import DATA
 from tests.llm.test_jaccard import brute
 
@@ -54,3 +57,35 @@ def test_odd_documents(spark):
         assert stage(spark, odd, DATA).count() >= 4
         assert stage(spark, odd.where("false"), DATA).count() == 0
     assert ngram_join.SHINGLE_WORDS == 5
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Workers get a few MB at once, also in sessions that others made; a size that the caller chose stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    for own, most in ((None, 6_000_000), ("1m", 1_500_000)):
+        other = spark.newSession()
+        other.conf.unset(key)
+        if own:
+            other.conf.set(key, own)
+        table(other, DATA, "documents")
+        wide = other.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("t"))
+        got = wide.mapInArrow(sizes, "bytes long, rows long").collect()
+        assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) <= most
+
+
+def test_workers_drop_what_other_operators_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def run(batches):
+        yield from batches
+
+    first = packing.encoder(path)
+    run.__module__ = packing.__name__
+    assert list(tidy(run)(iter([1]))) == [1] and packing.encoder(path) is first
+    run.__module__ = pii.__name__
+    assert list(tidy(run)(iter([1]))) == [1] and not packing._encoders
