@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from cairn.functions import text as T
+from cairn.functions.lists import group_lists
 from cairn.session import ship
 
 #: Folders that an index's postings are dealt out to by a hash of the term; a query reads one for each of its terms.
 BUCKETS = 64
+#: Tokens that a worker gathers before it hands on an index's blocks, and rows of one Arrow batch that it hands on.
+BLOCK_TOKENS, ROWS = 1_000_000, 65_536
+#: Repeated ids that are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 100_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
@@ -35,9 +40,73 @@ def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     """(term, id, tf, positions ascending). One document's positions of one term are gathered, never a term's documents."""
+    return _gathered(docs, id_col, text_col, rules)
+
+
+def _by_repeats(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other row has, and the others (None if there are none). Counts ids at once; null is an id like others."""
+    ids = docs.groupBy(F.col(id_col).alias("_repeated")).agg(F.count("*").alias("_n")).where("_n > 1").select("_repeated")
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    if n == 0:
+        return docs, None
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    same = F.col(id_col).eqNullSafe(F.col("_repeated"))
+    return docs.join(ids, same, "left_anti"), docs.join(ids, same, "left_semi")
+
+
+def _gathered(docs: DataFrame, id_col: str, text_col: str, rules: T.Rules) -> DataFrame:
+    """Postings of documents that may take several rows, which are shuffled."""
     return T.token_table(docs, id_col, text_col, rules).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def _block_schema(kind: str) -> str:
+    return f"term string, ids array<{kind}>, ends array<int>, dls array<int>, positions array<int>"
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, rules: T.Rules) -> DataFrame:
+    """Blocks of postings (term, ids, ends, dls, positions): a worker's next documents that hold a term, in one row.
+
+    `positions` are those of all the documents one after another, and `ends` says where each document's end.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+        terms, codes, row, at = group_lists(lists)
+        lengths = np.bincount(row, minlength=len(ids))
+        key = codes * len(ids) + row
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))  # of a document's positions of a term
+        if not len(starts):
+            return
+        ends = np.append(starts[1:], len(order))
+        of, doc = np.divmod(key[starts], len(ids))
+        heads = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(starts))  # of a term's documents
+        counted = ends - np.repeat(starts[heads[:-1]], np.diff(heads))
+        for i in range(0, len(heads) - 1, ROWS):
+            h = heads[i : i + ROWS + 1]
+            lo, hi = h[0], h[-1]
+            into = lambda values, cuts: pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), values)
+            places = np.append(starts[h[:-1]], ends[hi - 1])
+            columns = [terms.take(pa.array(of[h[:-1]])), into(ids.take(pa.array(doc[lo:hi])), h), into(pa.array(counted[lo:hi], pa.int32()), h), into(pa.array(lengths[doc[lo:hi]], pa.int32()), h), into(pa.array(at[order[places[0] : places[-1]]], pa.int32()), places)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "ends", "dls", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(1).flatten())
+            if n >= BLOCK_TOKENS:
+                yield from made(held)
+                held, n = [], 0
+        if held:
+            yield from made(held)
+
+    return docs.select(id_col, T.tokens(text_col, rules).alias("t")).mapInArrow(run, _block_schema(kind))
+
+
 def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
     return docs.select(id_col, F.size(T.tokens(text_col, rules)).cast("long").alias("dl"))
 
@@ -89,37 +158,57 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings (term, id, tf, positions, dl) in folders by a hash of the term, and corpus statistics."""
+    """A stored index: postings (term, id, tf, positions, dl), in blocks, in folders by a hash of the term, and corpus statistics."""
 
     folder: str
     id_col: str
+    kind: str
     rules: T.Rules
     buckets: int
     documents: int
     average: float
 
+    def blocks(self, spark: SparkSession) -> DataFrame:
+        """(bucket, term, ids, ends, dls, positions); see `_blocks`."""
+        return spark.read.schema(f"{_block_schema(self.kind)}, bucket int").parquet(f"{self.folder}/postings")
+
+    def _opened(self, blocks: DataFrame, with_positions: bool) -> DataFrame:
+        """A row for each posting. Positions that aren't asked for are not read."""
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.col("ends")[F.greatest(i - 1, F.lit(0))])
+        tf = lambda i: F.col("ends")[i] - begin(i)
+        positions = lambda i: [F.slice("positions", begin(i) + 1, tf(i)).alias("positions")] if with_positions else []
+        each = lambda d, i: F.struct(d.alias(self.id_col), tf(i).cast("long").alias("tf"), *positions(i), F.col("dls")[i].cast("long").alias("dl"))
+        return blocks.select("bucket", "term", F.inline(F.transform("ids", each)))
+
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/postings")
+        return self._opened(self.blocks(spark), True)
 
     def of_terms(self, spark: SparkSession, terms: list[str]) -> DataFrame:
-        """Postings of some terms; only their folders are read, and row groups are skipped by the sorted term."""
+        """(bucket, term, id, tf, dl) of some terms; only their folders are read, and row groups are skipped by the sorted term."""
         wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), self.buckets)).distinct().collect()] if terms else []
-        return self.postings(spark).where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+        return self._opened(self.blocks(spark).where(F.col("bucket").isin(wanted) & F.col("term").isin(terms)), False)
 
 
 def write_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT, buckets: int = BUCKETS) -> Index:
     """Write the postings of all documents to a folder, with the document's length beside each, and sum up the corpus.
 
-    They are dealt out by folder and a salt of the document, so that a term of every document is written by many tasks; ids should be unique.
+    Each worker makes blocks of its documents' postings, so that what is shuffled and sorted is a row for each term of a million tokens. Blocks are dealt out
+    by folder and a salt of their first document, so that a term of every document is written by many tasks; ids should be unique.
     """
-    rows = docs.select(F.col(id_col), T.tokens(text_col, rules).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    counted = rows.select(id_col, "dl", F.posexplode("t").alias("position", "term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
     spark = docs.sparkSession
+    once, repeated = _by_repeats(docs.select(id_col, text_col), id_col)
+    made = _blocks(once, id_col, text_col, rules)
+    if repeated is not None:
+        lengths = document_lengths(repeated, id_col, text_col, rules).groupBy(F.col(id_col).alias("_id")).agg(F.sum("dl").cast("int").alias("dl"))
+        each = _gathered(repeated, id_col, text_col, rules).join(lengths, F.col(id_col).eqNullSafe(F.col("_id")))
+        made = made.unionByName(each.select("term", F.array(id_col).alias("ids"), F.array(F.col("tf").cast("int")).alias("ends"), F.array("dl").alias("dls"), "positions"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    placed = counted.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(parts)))
-    placed.sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    n, average = rows.agg(F.count("*"), F.avg("dl")).first()
-    return Index(folder, id_col, rules, buckets, n, average or 0.0)
+    placed = made.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)))
+    placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    n = docs.count()
+    index = Index(folder, id_col, docs.schema[id_col].dataType.simpleString(), rules, buckets, n, 0.0)
+    tokens = index.blocks(spark).agg(F.sum(F.element_at("ends", -1))).first()[0]
+    return replace(index, average=(tokens or 0) / max(n, 1))
 
 
 def search_index(spark: SparkSession, index: Index, query: str, limit: int | None = 10, min_score: float = 0.0, require_all: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -133,10 +222,11 @@ def search_index(spark: SparkSession, index: Index, query: str, limit: int | Non
     held = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(F.broadcast(held), "term")  # one row for each term of the query
     score = T.bm25(F.col("tf"), T.idf(F.lit(index.documents), F.col("df")), F.col("dl"), F.lit(float(index.average)), k1, b)
-    place = F.array_position(F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>"), F.col("term"))
-    each = [F.coalesce(F.max(F.when(F.col("term") == t, score)), F.lit(0.0)) for t in terms]  # added up in the query's order, so that sums don't depend on the plan
-    out = weighed.groupBy(index.id_col).agg(sum(each, F.lit(0.0)).alias("s"), F.count("*").alias("found"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "term"))).alias("m"))
-    out = out.select(index.id_col, F.round("s", 6).alias("score"), "found", F.array_join(F.transform("m", lambda x: x.getField("term")), " ").alias("matched_terms"))
+    of = [F.max(F.when(F.col("term") == t, score)).alias(f"s{i}") for i, t in enumerate(terms)]  # added up in the query's order, so that sums don't depend on the plan
+    out = weighed.groupBy(index.id_col).agg(*of, F.count("*").alias("found"))
+    total = sum((F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(terms))), F.lit(0.0))
+    matched = F.concat_ws(" ", *[F.when(F.col(f"s{i}").isNotNull(), t) for i, t in enumerate(terms)])
+    out = out.select(index.id_col, F.round(total, 6).alias("score"), "found", matched.alias("matched_terms"))
     if require_all:
         out = out.where(F.col("found") == len(terms))
     out = out.where(F.col("score") >= min_score).drop("found")
@@ -181,16 +271,16 @@ def reindex(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return remove_documents(index, docs, id_col).unionByName(postings(docs, id_col, text_col, rules))
 
 
-def delta_postings(lists: DataFrame) -> DataFrame:
-    """Positions as differences from the one before, which is what varints of a posting list hold."""
-    return lists.withColumn("deltas", F.transform("positions", lambda x, i: x - F.when(i == 0, 0).otherwise(F.col("positions")[F.greatest(i - 1, F.lit(0))])))
-
-
 @F.pandas_udf(ArrayType(IntegerType()))
 def _sums(deltas: pd.Series) -> pd.Series:
     return deltas.map(lambda d: None if d is None else np.cumsum(d))
 
 
+def delta_postings(lists: DataFrame) -> DataFrame:
+    """Positions as differences from the one before, which is what varints of a posting list hold."""
+    return lists.withColumn("deltas", F.transform("positions", lambda x, i: x - F.when(i == 0, 0).otherwise(F.col("positions")[F.greatest(i - 1, F.lit(0))])))
+
+
 def undelta_postings(lists: DataFrame) -> DataFrame:
     """Positions from differences, by one running sum for each list."""
     ship(lists.sparkSession)

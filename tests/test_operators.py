@@ -395,3 +395,29 @@ def test_stored_index_agrees_with_a_scan(spark, tmp_path, corpus):
         for options in ({}, {"require_all": True}, {"k1": 2.0, "b": 0.1, "limit": 1}, {"min_score": 0.4, "limit": None}):
             assert sorted(map(tuple, search.search_index(spark, index, query, **options).collect())) == sorted(map(tuple, search.search(corpus, query, rules=rules, **options).collect()))
     assert "and" not in rules.without_word("and").stopwords and rules.stopwords[-1] == "systems"
+
+
+REPEATED = [(1, "red red blue"), (2, None), (3, "blue Green red blue"), (1, "green red"), (None, "red"), (None, "red blue"), (4, "")]
+
+
+def by_hand(rows):
+    found = {}
+    for i, t in rows:
+        for at, word in enumerate((t or "").lower().split()):
+            found.setdefault((word, i), []).append(at)
+    return sorted((t, str(i), len(p), sorted(p)) for (t, i), p in found.items())
+
+
+def test_index_holds_blocks_of_postings(spark, tmp_path, monkeypatch):
+    """A worker's documents of a term are one row of the index, so that is what is shuffled (it was a row for each posting)."""
+    lengths = {"1": 5, "3": 4, "None": 3}
+    for k, (rows, size) in enumerate([(REPEATED, search.BLOCK_TOKENS), (REPEATED, 1), (REPEATED[1:2], 1), ([], 1)]):
+        monkeypatch.setattr(search, "BLOCK_TOKENS", size)
+        index = search.write_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"file://{tmp_path}/{k}", buckets=4)
+        got = index.postings(spark).collect()
+        assert sorted((r.term, str(r.doc_id), r.tf, r.positions) for r in got) == by_hand(rows)
+        assert all(r.dl == lengths[str(r.doc_id)] for r in got) and index.documents == len(rows)
+        assert search.search_index(spark, index, "red").count() == sum(r.term == "red" for r in got)
+    many = spark.createDataFrame([(i, "same words here " + "x" * (i % 9)) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    index = search.write_index(many, f"file://{tmp_path}/many", buckets=4)
+    assert index.postings(spark).where("term = 'words'").count() == 2000 and index.blocks(spark).where("term = 'words'").count() == 1
