@@ -9,10 +9,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
+from cairn.functions.lists import sizes_of
+
 
 def varint_size(value: Column) -> Column:
     """Bytes of a LEB128 varint of a non-negative long (10 for a negative one, as for its unsigned reading)."""
@@ -30,43 +33,73 @@ def unzigzag(value: Column) -> Column:
     return F.shiftrightunsigned(value, 1).bitwiseXOR(-(value.bitwiseAND(1)))
 
 
-def encode_varints(values: np.ndarray) -> bytes:
-    """LEB128 of unsigned 64-bit numbers, one after another."""
+def _varint_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LEB128 bytes of unsigned 64-bit numbers, one after another, and how many each number has."""
     rest = np.asarray(values).astype(np.uint64)
-    groups = np.stack([(rest >> np.uint64(7 * i)).astype(np.uint8) & 127 for i in range(10)], axis=-1)
-    bits = np.zeros(rest.shape, np.int64)
+    sizes = np.ones(rest.shape, np.int64)
     for i in range(1, 10):
-        bits += (rest >> np.uint64(7 * i)) > 0
-    used = np.arange(10) <= bits[..., None]
-    groups |= np.where(np.arange(10) < bits[..., None], 128, 0).astype(np.uint8)
-    return groups[used].tobytes()
+        sizes += (rest >> np.uint64(7 * i)) > 0
+    widest = int(sizes.max(initial=1))
+    groups = np.stack([(rest >> np.uint64(7 * i)).astype(np.uint8) & 127 for i in range(widest)], axis=-1)
+    at = np.arange(widest)
+    groups |= np.where(at < sizes[..., None] - 1, 128, 0).astype(np.uint8)
+    return groups[at < sizes[..., None]], sizes
 
 
-def decode_varints(raw: bytes) -> np.ndarray:
-    """The numbers of a run of varints; a truncated or over-long last one raises ValueError."""
-    x = np.frombuffer(raw, np.uint8)
-    if len(x) and x[-1] & 128:
-        raise ValueError("truncated varint")
+def _varint_values(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of varints one after another, and where each one ends. The last one must be whole."""
     ends = np.flatnonzero(x < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    if len(ends) and (ends - starts).max() > 9:
+    sizes = ends - starts + 1
+    if sizes.max(initial=0) > 10:
         raise ValueError("varint of more than ten bytes")
     out = np.zeros(len(ends), np.uint64)
-    for i in range(10):
-        live = starts + i <= ends
+    for i in range(int(sizes.max(initial=0))):
+        live = sizes > i
         out[live] |= (x[starts[live] + i] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * i)
-    return out
+    return out, ends
 
 
-@F.pandas_udf(BinaryType())
-def varint_udf(values: pd.Series) -> pd.Series:
-    """An array of longs as varints, of their unsigned reading."""
-    return values.map(lambda v: None if v is None else encode_varints(np.array(v, np.int64).view(np.uint64)))
+def encode_varints(values: np.ndarray) -> bytes:
+    """LEB128 of unsigned 64-bit numbers, one after another."""
+    return _varint_bytes(values)[0].tobytes()
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def unvarint_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else decode_varints(b).view(np.int64))
+def decode_varints(raw: bytes) -> np.ndarray:
+    """The numbers of a run of varints; a truncated or over-long last one raises ValueError."""
+    x = np.frombuffer(raw, np.uint8)
+    if len(x) and x[-1] & 128:
+        raise ValueError("truncated varint")
+    return _varint_values(x)[0]
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+@F.arrow_udf(BinaryType())
+def varint_udf(values: pa.Array) -> pa.Array:
+    """An array of longs as varints, of their unsigned reading; all lists of a batch at once. Nulls stay, null numbers raise ValueError."""
+    flat = values.flatten()
+    if flat.null_count:
+        raise ValueError("null number")
+    raw, sizes = _varint_bytes(flat.to_numpy(zero_copy_only=False).view(np.uint64))
+    cuts = _ends(sizes)[_ends(sizes_of(values))].astype(np.int32)
+    made = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+    return pc.if_else(values.is_valid(), made, pa.scalar(None, pa.binary())) if values.null_count else made
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def unvarint_udf(raw: pa.Array) -> pa.Array:
+    """The longs of varints, all values of a batch at once; nulls stay, truncated or over-long varints raise ValueError."""
+    raw = raw.cast(pa.large_binary())
+    cuts = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    x = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    if (x[cuts[1:][np.diff(cuts) > 0] - 1] & 128).any():
+        raise ValueError("truncated varint")
+    values, ends = _varint_values(x)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(ends, cuts), pa.int32()), pa.array(values.view(np.int64)), mask=raw.is_null() if raw.null_count else None)
 
 
 ALGORITHMS = ("none", "lz4", "zlib", "zstd")

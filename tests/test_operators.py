@@ -421,3 +421,17 @@ def test_index_holds_blocks_of_postings(spark, tmp_path, monkeypatch):
     many = spark.createDataFrame([(i, "same words here " + "x" * (i % 9)) for i in range(2000)], "doc_id long, text string").coalesce(1)
     index = search.write_index(many, f"file://{tmp_path}/many", buckets=4)
     assert index.postings(spark).where("term = 'words'").count() == 2000 and index.blocks(spark).where("term = 'words'").count() == 1
+
+
+def test_varints_of_a_batch(spark):
+    """Lists of a batch are coded all at once (list by list before): slices, nulls and empty lists keep their place."""
+    import pyarrow as pa
+
+    lists = pa.array([[7], [300, 0, -1], None, [], [2**63 - 1, 128]], pa.list_(pa.int64()))
+    for a in (lists, lists[1:4], lists[2:3], lists[:0]):
+        raw = codecs.varint_udf.func(a)
+        assert raw.to_pylist() == [None if v is None else codecs.encode_varints(np.array(v, np.int64).view(np.uint64)) for v in a.to_pylist()]
+        assert codecs.unvarint_udf.func(raw).to_pylist() == a.to_pylist() and codecs.unvarint_udf.func(raw[1:]).to_pylist() == a.to_pylist()[1:]
+    for bad in ([b"\x80", b"\x01"], [b"\x01", b"\xff" * 10 + b"\x01"]):
+        with pytest.raises(ValueError):
+            codecs.unvarint_udf.func(pa.array(bad))
