@@ -39,8 +39,13 @@ def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: T.Rules = T.DEFAULT) -> DataFrame:
-    """(term, id, tf, positions ascending). One document's positions of one term are gathered, never a term's documents."""
-    return _gathered(docs, id_col, text_col, rules)
+    """(term, id, tf, positions ascending). One document's positions of one term are gathered, never a term's documents.
+
+    A document's tokens are grouped within its row and nothing is shuffled; only rows that repeat an id, if there are any, meet by term and id.
+    """
+    once, repeated = _by_repeats(docs.select(id_col, text_col), id_col)
+    out = _grouped(once, id_col, text_col, rules)
+    return out if repeated is None else out.unionByName(_gathered(repeated, id_col, text_col, rules))
 
 
 def _by_repeats(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -59,6 +64,27 @@ def _gathered(docs: DataFrame, id_col: str, text_col: str, rules: T.Rules) -> Da
     return T.token_table(docs, id_col, text_col, rules).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, rules: T.Rules) -> DataFrame:
+    """Postings of documents of one row each, batch by batch: tokens are numbered by term and put in order by document and term."""
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, codes, row, at = group_lists(batch.column(1))
+            key = row * max(1, len(terms)) + codes
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(starts[1:], len(order))
+            for i in range(0, len(starts), ROWS):
+                first, last = starts[i : i + ROWS], ends[i : i + ROWS]
+                here = order[first[0] : last[-1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, last[-1]) - first[0], pa.int32()), pa.array(at[here], pa.int32()))
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(codes[order[first]])), batch.column(0).take(pa.array(row[order[first]])), pa.array(last - first, pa.int64()), lists], ["term", id_col, "tf", "positions"])
+
+    return docs.select(id_col, T.tokens(text_col, rules).alias("t")).mapInArrow(run, f"term string, `{id_col}` {kind}, tf long, positions array<int>")
+
+
 def _block_schema(kind: str) -> str:
     return f"term string, ids array<{kind}>, ends array<int>, dls array<int>, positions array<int>"
 

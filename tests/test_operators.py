@@ -408,6 +408,14 @@ def by_hand(rows):
     return sorted((t, str(i), len(p), sorted(p)) for (t, i), p in found.items())
 
 
+def test_postings_are_grouped_within_rows(spark, corpus):
+    """Nothing is shuffled where ids are unique (all tokens were); rows that repeat an id still are one document."""
+    assert "Exchange" not in search.postings(corpus)._jdf.queryExecution().executedPlan().toString()
+    for rows in (REPEATED, REPEATED[:3], REPEATED[1:2], []):
+        got = search.postings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.term, str(r.doc_id), r.tf, r.positions) for r in got) == by_hand(rows)
+
+
 def test_index_holds_blocks_of_postings(spark, tmp_path, monkeypatch):
     """A worker's documents of a term are one row of the index, so that is what is shuffled (it was a row for each posting)."""
     lengths = {"1": 5, "3": 4, "None": 3}
