@@ -11,14 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from cairn.functions import text as T
-from cairn.functions.lists import group_lists
+from cairn.functions.lists import group_lists, running_sums
 from cairn.session import ship
 
 #: Folders that an index's postings are dealt out to by a hash of the term; a query reads one for each of its terms.
@@ -297,9 +296,9 @@ def reindex(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return remove_documents(index, docs, id_col).unionByName(postings(docs, id_col, text_col, rules))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _sums(deltas: pd.Series) -> pd.Series:
-    return deltas.map(lambda d: None if d is None else np.cumsum(d))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _sums(deltas: pa.Array) -> pa.Array:
+    return running_sums(deltas)
 
 
 def delta_postings(lists: DataFrame) -> DataFrame:

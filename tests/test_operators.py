@@ -431,6 +431,15 @@ def test_index_holds_blocks_of_postings(spark, tmp_path, monkeypatch):
     assert index.postings(spark).where("term = 'words'").count() == 2000 and index.blocks(spark).where("term = 'words'").count() == 1
 
 
+def test_running_sums_of_lists(spark):
+    import pyarrow as pa
+
+    from cairn.functions.lists import running_sums
+
+    a = pa.array([[9], [1, 2, 3], None, [], [5, -1]], pa.list_(pa.int32()))
+    assert running_sums(a).to_pylist() == [[9], [1, 3, 6], None, [], [5, 4]] and running_sums(a[1:4]).to_pylist() == [[1, 3, 6], None, []]
+
+
 def test_varints_of_a_batch(spark):
     """Lists of a batch are coded all at once (list by list before): slices, nulls and empty lists keep their place."""
     import pyarrow as pa
