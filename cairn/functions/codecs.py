@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import secrets
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,26 +122,39 @@ def _unpack(data: bytes, size: int, algorithm: str) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="lz4_raw" if algorithm == "lz4" else "zstd", asbytes=True)
 
 
+def _cells(data: pa.Array) -> Iterator[pa.Buffer | None]:
+    """The bytes of each value where they lie in the batch."""
+    return (x.as_buffer() for x in data)
+
+
 def compress(algorithm: str):
     """A function of a binary column; blocks are compressed whole, nulls stay."""
     if algorithm not in ALGORITHMS:
         raise ValueError(algorithm)
 
-    @F.pandas_udf(BinaryType())
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else _pack(bytes(b), algorithm))
+    @F.arrow_udf(BinaryType())
+    def run(data: pa.Array) -> pa.Array:
+        return data if algorithm == "none" else pa.array((None if b is None else _pack(b, algorithm) for b in _cells(data)), pa.binary())
 
     return run
 
 
-def decompress(algorithm: str):
-    """A function of (binary, original size)."""
+def decompress(algorithm: str, strict: bool = True):
+    """A function of (binary, original size). What can't be unpacked is the codec's error, or null if not strict."""
     if algorithm not in ALGORITHMS:
         raise ValueError(algorithm)
 
-    @F.pandas_udf(BinaryType())
-    def run(data: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else _unpack(bytes(b), int(n), algorithm) for b, n in zip(data, size, strict=True)])
+    def one(b: pa.Buffer | None, n: int | None) -> bytes | None:
+        try:
+            return None if b is None else _unpack(b, int(n), algorithm)
+        except Exception:  # any codec's own error
+            if strict:
+                raise
+            return None
+
+    @F.arrow_udf(BinaryType())
+    def run(data: pa.Array, size: pa.Array) -> pa.Array:
+        return data if algorithm == "none" else pa.array((one(b, n.as_py()) for b, n in zip(_cells(data), size, strict=True)), pa.binary())
 
     return run
 

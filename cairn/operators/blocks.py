@@ -7,11 +7,10 @@ reserved bytes.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.codecs import ALGORITHMS, _pack, _unpack
+from cairn.functions.codecs import ALGORITHMS, compress, decompress
 from cairn.session import ship
 
 #: Fixed values of the format.
@@ -29,8 +28,6 @@ def cut_blocks(entries: DataFrame, size: int) -> DataFrame:
 
 def compress_blocks(entries: DataFrame, algorithm: str, size: int = 65_536) -> DataFrame:
     """(entry_id, ordinal, original_size, stored_size, crc32 of the original, block compressed on its own)."""
-    from cairn.functions.codecs import compress
-
     ship(entries.sparkSession)
     cut = cut_blocks(entries, size).withColumn("crc32", F.crc32("block"))
     packed = cut.withColumn("block", compress(algorithm)("block"))
@@ -47,19 +44,10 @@ def decompress_blocks(blocks: DataFrame, algorithm: str) -> DataFrame:
         raise ValueError(algorithm)
     ship(blocks.sparkSession)
 
-    @F.pandas_udf("data binary, failed boolean")
-    def unpacked(data: pd.Series, size: pd.Series) -> pd.DataFrame:
-        out = []
-        for b, n in zip(data, size, strict=True):
-            try:
-                out.append((_unpack(bytes(b), int(n), algorithm), False))
-            except Exception:  # any codec's own error
-                out.append((None, True))
-        return pd.DataFrame(out, columns=["data", "failed"])
-
+    unpacked = decompress(algorithm, strict=False)
     each = blocks.select("entry_id", "ordinal", "original_size", "crc32", unpacked("block", "original_size").alias("u"))
-    bad = F.col("u.failed") | (F.octet_length("u.data") != F.col("original_size")) | ((F.col("crc32") != 0) & (F.crc32("u.data") != F.col("crc32")))
-    rows = each.groupBy("entry_id").agg(F.min(F.when(bad, F.col("ordinal"))).alias("first"), F.count("*").alias("n"), F.max("ordinal").alias("last"), F.array_sort(F.collect_list(F.struct("ordinal", F.col("u.data").alias("data")))).alias("parts"))
+    bad = F.col("u").isNull() | F.col("original_size").isNull() | (F.octet_length("u") != F.col("original_size")) | ((F.col("crc32") != 0) & (F.crc32("u") != F.col("crc32")))
+    rows = each.groupBy("entry_id").agg(F.min(F.when(bad, F.col("ordinal"))).alias("first"), F.count("*").alias("n"), F.max("ordinal").alias("last"), F.array_sort(F.collect_list(F.struct("ordinal", F.col("u").alias("data")))).alias("parts"))
     error = F.when(F.col("first").isNotNull(), F.concat(F.lit("DecompressionError at block "), F.col("first").cast("string"))).when(F.col("n") != F.col("last") + 1, "MissingBlock")
     joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p.getField("data")))
     return rows.select("entry_id", F.when(error.isNull(), joined).alias("content"), error.alias("error"))
